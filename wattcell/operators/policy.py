@@ -35,8 +35,8 @@ class ProbabilityController:
         return float(min(self.tau_on, self.tau_off)) if self.hysteresis else float(self.tau_on)
 
 
-def _load_event(load: Column, p30: Column, p70: Column, h_sleep: float, h_eco: float) -> Column:
-    """What one interval does to the state.
+def _load_event(h_sleep: float, h_eco: float) -> Column:
+    """What one interval does to the state, from ``prb``, ``p30`` and ``p70``.
 
     ========  ====================================================
     S, E, F   any state becomes SLEEP, ECO, FULL
@@ -49,17 +49,15 @@ def _load_event(load: Column, p30: Column, p70: Column, h_sleep: float, h_eco: f
     T needs a band where the level that leaves ECO lies below the one that leaves SLEEP,
     which happens only if ``h_sleep`` is larger than ``h_eco``.
     """
-    enter_sleep, leave_sleep = p30 - h_sleep, p30 + h_sleep
-    enter_eco, leave_eco = F.greatest(p70 - h_eco, leave_sleep), p70 + h_eco
-    known = load.isNotNull() & p30.isNotNull() & p70.isNotNull()
-    return (
-        F.when(~known, F.lit(None).cast("string"))
-        .when(load < enter_sleep, "S")
-        .when(load < leave_sleep, F.when(load >= leave_eco, "T").otherwise("A"))
-        .when(load < enter_eco, "E")
-        .when(load < leave_eco, "B")
-        .otherwise("F")
-    )
+    enter_sleep, leave_sleep = f"p30 - {h_sleep!r}D", f"p30 + {h_sleep!r}D"
+    enter_eco, leave_eco = f"greatest(p70 - {h_eco!r}D, {leave_sleep})", f"p70 + {h_eco!r}D"
+    return F.expr(f"""
+        CASE WHEN prb IS NULL OR p30 IS NULL OR p70 IS NULL THEN NULL
+             WHEN prb < {enter_sleep} THEN 'S'
+             WHEN prb < {leave_sleep} THEN IF(prb >= {leave_eco}, 'T', 'A')
+             WHEN prb < {enter_eco} THEN 'E'
+             WHEN prb < {leave_eco} THEN 'B'
+             ELSE 'F' END""")
 
 
 def hysteresis_states(df: DataFrame, h_sleep: float = 2.0, h_eco: float = 2.0) -> DataFrame:
@@ -71,7 +69,7 @@ def hysteresis_states(df: DataFrame, h_sleep: float = 2.0, h_eco: float = 2.0) -
         raise ValueError("hysteresis margins must not be negative")
     require_columns(df, [*DAY_KEYS, "tod_bin", "seq", "prb", "p30", "p70"], "hysteresis_states")
     slot = F.col("tod_bin")
-    df = df.withColumn("_ev", _load_event(F.col("prb"), F.col("p30"), F.col("p70"), h_sleep, h_eco))
+    df = df.withColumn("_ev", _load_event(float(h_sleep), float(h_eco)))
     ev, place = F.col("_ev"), F.struct(*DAY_ORDER)
 
     first = [

@@ -203,7 +203,7 @@ def cells_by_saving(spark, sf_dir):
 
 @query("cell_metrics_long", sql(pol_plain(), _cell_sql(), f"""
 SELECT bs, cell, 'P(sleep_on)' AS metric, {r('p_sleep', 'value')} FROM cell_kpi
-UNION ALL SELECT bs, cell, 'Sleep time fraction', round(f_sleep, 6) + 0.0 FROM cell_kpi"""))
+UNION ALL SELECT bs, cell, 'Sleep time fraction', {r('f_sleep', 'value')} FROM cell_kpi"""))
 def cell_metrics_long(spark, sf_dir):
     return reports.sleep_bars(kpis.cell_kpis(policy(spark, sf_dir)))
 

@@ -191,7 +191,7 @@ def features_load_only(spark, sf_dir):
 # -- fitted models (no SQL equivalent) ---------------------------------------------------
 
 _QUICK = TrainSpec(rounds=5, depth=3, rate=0.3, features=TRANSFER)
-_LOGISTIC = TrainSpec(model_type=LOGISTIC, method=SIGMOID, logistic_iterations=25, features=TRANSFER)
+_LOGISTIC = TrainSpec(model_type=LOGISTIC, method=SIGMOID, logistic_iterations=10, features=TRANSFER)
 _METRIC_ROW = "strategy string, label_prevalence double, " + ", ".join(f"{m} double" for m in studies.METRICS)
 
 

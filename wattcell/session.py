@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", name: str = "wattcell", **conf) -> Spa
     settings = DEFAULTS | {
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     for key, value in (settings | conf).items():
