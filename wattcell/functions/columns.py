@@ -36,7 +36,8 @@ def half_hour_bin(hour: Column, minute: Column) -> Column:
 
 
 def time_label(tod_bin: Column) -> Column:
-    return F.format_string("%02d:%02d", F.floor(tod_bin / 2).cast("int"), (tod_bin % 2) * 30)
+    hour = F.lpad(F.floor(tod_bin / 2).cast("string"), 2, "0")
+    return F.concat(hour, F.when(tod_bin % 2 == 1, ":30").otherwise(":00"))
 
 
 def day_angle(tod_bin: Column) -> Column:

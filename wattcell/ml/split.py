@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattcell.operators.ordered import null_safe
-from wattcell.operators.sampling import count_groups, group_key, hash_cutoff, key_hash
+from wattcell.operators.sampling import group_key, hash_cutoff, key_hash
 from wattcell.schema import CELL, require_columns
 
 LAST_DAYS, CELL_GROUPS, STATION_GROUPS = "last_days_per_cell", "cell_group_holdout", "base_station_holdout"
@@ -53,11 +53,9 @@ def last_days_holdout(df: DataFrame, spec: SplitSpec = SplitSpec(), check: bool
 
 def group_holdout(df: DataFrame, keys: list[str] = CELL, spec: SplitSpec = SplitSpec()) -> DataFrame:
     """Test rows belong to ``ceil(fraction * groups)`` groups, chosen by the hash of their key."""
-    groups = count_groups(df, keys)
-    held = math.ceil(spec.test_fraction * groups)
-    if held == 0 or held >= groups:
+    cutoff, held, groups = hash_cutoff(df, keys, spec.seed, lambda n: math.ceil(spec.test_fraction * n))
+    if held == 0 or held == groups:
         raise DegenerateSplit(f"group_holdout: {held} of {groups} groups held out")
-    cutoff = hash_cutoff(df, keys, spec.seed, held)
     return df.withColumn("is_test", key_hash(spec.seed, group_key(keys)) <= F.lit(cutoff))
 
 

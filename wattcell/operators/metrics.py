@@ -9,7 +9,6 @@ the at most ``RANGES`` ranges.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wattcell.functions import columns as fx
 from wattcell.operators.ordered import SEQ_BITS, Running, running
-from wattcell.operators.quantiles import quantile_row
+from wattcell.operators.quantiles import few_distinct, quantile_row
 from wattcell.schema import require_columns
 
 RANGES = 1000
@@ -25,23 +24,11 @@ PLAIN_LIMIT = 100_000
 LOW_P, HIGH_P = 1e-6, 1.0 - 1e-6
 
 
-@dataclass(frozen=True)
-class Spread:
-    """Sketch of a column: rows, distinct values, and cuts that spread the rows evenly."""
-
-    rows: int
-    distinct: int
-    cuts: list[float]
-
-
-def spread_of(df: DataFrame, column: str) -> Spread:
-    probs = [i / RANGES for i in range(1, RANGES)]
-    row = df.agg(
-        F.count(column).alias("rows"),
-        F.approx_count_distinct(column).alias("distinct"),
-        F.percentile_approx(column, probs, 10 * RANGES).alias("cuts"),
-    ).first()
-    return Spread(row["rows"], row["distinct"], sorted(set(row["cuts"] or [])))
+def even_cuts(df: DataFrame, column: str) -> list[float]:
+    """Values that cut the rows into about ``RANGES`` ranges of equal size."""
+    probs = ", ".join(f"{i / RANGES!r}D" for i in range(1, RANGES))
+    row = df.agg(F.expr(f"percentile_approx(`{column}`, array({probs}), {10 * RANGES})").alias("cuts")).first()
+    return sorted(set(row["cuts"] or []))
 
 
 def with_range(df: DataFrame, column: str, cuts: Sequence[float], name: str = "_range") -> DataFrame:
@@ -53,10 +40,10 @@ def with_range(df: DataFrame, column: str, cuts: Sequence[float], name: str = "_
 
 def running_by_value(df: DataFrame, value: str, columns: Sequence[Running]) -> DataFrame:
     """Running columns over a whole table in order of a distinct numeric ``value``."""
-    spread = spread_of(df, value)
-    if spread.distinct <= PLAIN_LIMIT:
+    if few_distinct(df, [value], PLAIN_LIMIT)[value]:
         return running(df, [], [value], columns)
-    return running(with_range(df, value, spread.cuts), [], [value], columns, ["_range"]).drop("_range")
+    cut = with_range(df, value, even_cuts(df, value))
+    return running(cut, [], [value], columns, ["_range"]).drop("_range")
 
 
 def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -132,14 +119,14 @@ def load_rank_scores(df: DataFrame, load: str = "prb", y: str = "sleep_on") -> D
     """
     require_columns(df, [load, y, "seq"], "load_rank_scores")
     rows = df.filter(fx.is_finite(F.col(load))).select(F.col(load).alias("_load"), "seq", F.col(y).cast("int").alias("y"))
-    spread = spread_of(rows, "_load")
+    total = rows.count()
     place = [Running("_place", F.lit(1), "sum")]
-    if spread.rows <= PLAIN_LIMIT:
+    if total <= PLAIN_LIMIT:
         placed = running(rows, [], ["_load", "seq"], place)
     else:
-        cut = with_range(rows, "_load", spread.cuts).withColumn("_seq_range", F.shiftright("seq", SEQ_BITS))
+        cut = with_range(rows, "_load", even_cuts(rows, "_load")).withColumn("_seq_range", F.shiftright("seq", SEQ_BITS))
         placed = running(cut, [], ["_load", "seq"], place, ["_range", "_load", "_seq_range"])
-    last = max(spread.rows - 1, 1)
+    last = max(total - 1, 1)
     return placed.select("y", (1.0 - (F.col("_place") - 1) / F.lit(float(last))).alias("p"))
 
 

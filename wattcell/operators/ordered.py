@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattcell.schema import CELL
+from wattcell.session import materialize
 
 HOT_CELL_ROWS = 5_000_000
 SEQ_BITS = 20
@@ -82,11 +83,14 @@ def running(
     order: Sequence[str],
     columns: Sequence[Running],
     block: Sequence[str] = (),
+    write_totals: bool = False,
 ) -> DataFrame:
     """Add running columns per ``keys`` in ``order``.
 
     ``block`` names columns that cut a series into stretches contiguous in ``order``,
     coarsest first. Rows whose first block column is NULL belong to an uncut series.
+    ``write_totals`` stores the block totals at once, so that chained calls do not
+    repeat the plan of ``df`` for every level of blocks.
     """
     part, block = [*keys, *block], list(block)
     window = Window.partitionBy(*part).orderBy(*order)
@@ -99,6 +103,8 @@ def running(
         .groupBy(*part)
         .agg(*[c.total(order).alias(c.name) for c in columns])
     )
+    if write_totals:
+        totals = materialize(totals, "block_totals")
     into_block = [
         Running(f"_in_{c.name}", F.col(c.name), "sum" if c.how == "sum" else "last", inclusive=False) for c in columns
     ]
@@ -143,4 +149,4 @@ def running_per_cell(
     cut = df.withColumns(
         {"_slot": F.when(F.col(HOT), slot), "_range": F.when(F.col(HOT), F.shiftright("seq", SEQ_BITS))}
     )
-    return running(cut, keys, order, columns, ["_slot", "_range"]).drop("_slot", "_range")
+    return running(cut, keys, order, columns, ["_slot", "_range"], write_totals=True).drop("_slot", "_range")

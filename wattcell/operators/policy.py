@@ -139,23 +139,24 @@ def probability_states(
     ECO (only possible when the two levels coincide) swap the state.
     """
     require_columns(df, [*DAY_KEYS, "tod_bin", "seq", p], "probability_states")
-    score, slot = F.col(p), F.col("tod_bin")
+    slot = F.col("tod_bin")
     forced, flips = {}, {}
     for name, c in controllers.items():
-        on, off = F.lit(float(c.tau_on)), F.lit(c.exit_level)
+        on, off = f"{float(c.tau_on)!r}D", f"{c.exit_level!r}D"
         if c.exit_level < c.tau_on:
-            forced[name] = F.when(score >= on, "ECO").when(score <= off, "FULL")
+            forced[name] = F.expr(f"CASE WHEN `{p}` >= {on} THEN 'ECO' WHEN `{p}` <= {off} THEN 'FULL' END")
         else:
-            forced[name] = F.when(score > on, "ECO").when(score < off, "FULL")
-            flips[name] = F.when(score == on, 1).otherwise(0)
+            forced[name] = F.expr(f"CASE WHEN `{p}` > {on} THEN 'ECO' WHEN `{p}` < {off} THEN 'FULL' END")
+            flips[name] = F.expr(f"IF(`{p}` = {on}, 1, 0)")
 
     first = [Running(f"_n_{name}", flip, "sum") for name, flip in flips.items()]
     if first:
         df = running_per_cell(df, DAY_KEYS, DAY_ORDER, first, slot)
     anchors = []
     for name, event in forced.items():
-        value = F.struct(event.alias("ev"), F.col(f"_n_{name}").alias("n")) if name in flips else event
-        anchors.append(Running(f"_a_{name}", F.when(event.isNotNull(), value)))
+        if name in flips:
+            event = F.when(event.isNotNull(), F.struct(event.alias("ev"), F.col(f"_n_{name}").alias("n")))
+        anchors.append(Running(f"_a_{name}", event))
     df = running_per_cell(df, DAY_KEYS, DAY_ORDER, anchors, slot)
 
     states = {}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattcell.functions import columns as fx
-from wattcell.operators.ordered import HOT_CELL_ROWS, Running, mark_hot_cells, running_per_cell
+from wattcell.operators.ordered import HOT, HOT_CELL_ROWS, Running, mark_hot_cells, running_per_cell
 from wattcell.schema import CELL, require_columns
+from wattcell.session import materialize
 
 DAY_MODES = ("date", "sequence", "reference")
 # Order of the intervals of a cell once the day is known, and the matching time slot.
@@ -91,10 +92,15 @@ def add_lags_and_day(df: DataFrame, day_mode: str | None = None) -> DataFrame:
 
 
 def prepare(df: DataFrame, day_mode: str | None = None, hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
-    """All derived columns, from a table in the short column names with ``seq``."""
+    """All derived columns, from a table in the short column names with ``seq``.
+
+    With hot cells the result is stored: the operators that follow would otherwise
+    repeat the block-wise windows.
+    """
     require_columns(df, ["bs", "cell", "ts", "seq"], "prepare")
     timed = add_units_and_labels(add_time(df))
-    return add_lags_and_day(mark_hot_cells(timed, hot_cell_rows), day_mode)
+    out = add_lags_and_day(mark_hot_cells(timed, hot_cell_rows), day_mode)
+    return materialize(out, "prepared") if HOT in out.columns else out
 
 
 def has_ground_truth(df: DataFrame) -> bool:

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from wattcell.operators.ordered import null_safe
 
-MAX_DISTINCT = 1_000_000
+MAX_DISTINCT = 250_000
 ACCURACY = 100_000
 
 
-def few_distinct(df: DataFrame, columns: Sequence[str], limit: int = 0) -> dict[str, bool]:
+def few_distinct(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, bool]:
     """Which columns have so few distinct values that one counter each is affordable."""
-    limit = limit or MAX_DISTINCT
+    limit = MAX_DISTINCT if limit is None else limit
     row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     return {c: row[c] <= limit for c in columns}
 

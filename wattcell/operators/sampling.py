@@ -6,6 +6,8 @@ kept or held out by comparing their own hash with that cutoff, without any join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,37 +25,35 @@ def group_key(keys: list[str]) -> Column:
     return cell_label(*[F.coalesce(F.col(k), F.lit("")) for k in CELL]) if keys == CELL else F.col(keys[0])
 
 
-def count_groups(df: DataFrame, keys: list[str]) -> int:
-    return df.select(*keys).distinct().count()
-
+def hash_cutoff(df: DataFrame, keys: list[str], seed: int, wanted: Callable[[int], int]) -> tuple[str, int, int]:
+    """The n-th smallest hash among the distinct groups, with n and their number N.
 
-def hash_cutoff(df: DataFrame, keys: list[str], seed: int, n: int) -> str:
-    """The n-th smallest hash among the distinct groups (n from 1).
-
-    Hashes spread evenly, so after counting by prefix only one prefix, about N/4096
-    groups, is looked at, and only its first few hashes are ordered.
+    ``wanted`` gives n from N. Hashes spread evenly, so after counting by prefix only
+    one prefix, about N/4096 groups, is looked at, and only its first few hashes are
+    ordered. For n = 0 the cutoff is empty text, below every hash.
     """
     hashes = df.select(*keys).distinct().select(key_hash(seed, group_key(keys)).alias("h"))
     prefix = F.substring("h", 1, _PREFIX)
-    counts = hashes.groupBy(prefix.alias("head")).count().collect()
+    counts = sorted((r["head"], r["n"]) for r in hashes.groupBy(prefix.alias("head")).agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in counts)
+    n = min(wanted(total), total)
+    if n <= 0:
+        return "", 0, total
     left = n
-    for row in sorted(counts, key=lambda r: r["head"]):
-        if left <= row["count"]:
-            found = hashes.filter(prefix == row["head"]).orderBy("h").offset(left - 1).limit(1).first()
-            return found["h"]
-        left -= row["count"]
-    raise ValueError(f"fewer than {n} groups")
+    for head, here in counts:
+        if left <= here:
+            break
+        left -= here
+    found = hashes.filter(prefix == head).orderBy("h").offset(left - 1).limit(1).first()
+    return found["h"], n, total
 
 
 def sample_cells(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """All rows of ``max(1, int(fraction * cells))`` cells."""
-    total = count_groups(df, CELL)
-    if not total:
-        return df
-    n = max(1, int(total * fraction))
-    if n >= total:
+    if fraction >= 1:
         return df
-    return df.filter(key_hash(seed, group_key(CELL)) <= hash_cutoff(df, CELL, seed, n))
+    cutoff, _, _ = hash_cutoff(df, CELL, seed, lambda cells: max(1, int(cells * fraction)))
+    return df.filter(key_hash(seed, group_key(CELL)) <= F.lit(cutoff))
 
 
 def downsample(df: DataFrame, key: Column, max_rows: int = 5000, seed: int = 0) -> DataFrame:

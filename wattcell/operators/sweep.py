@@ -44,27 +44,23 @@ def pareto_sweep(
     levels = {f"_s{i}": ProbabilityController(t, max(0.0, t - offset)) for i, t in enumerate(grid)}
     rows = probability_states(rows, levels, p)
 
-    wh = F.lit(float(alpha)) * fx.baseline_wh(F.col("rru_w"))
-    valid = F.col("prb").isNotNull()
-    sums = [F.count(F.lit(1)).alias("_all"), F.count_if(valid).alias("_valid")]
+    alpha, load_limit = f"{float(alpha)!r}D", f"{float(load_limit)!r}D"
+    rows = rows.withColumn("_wh", F.expr(alpha) * fx.baseline_wh(F.col("rru_w")))
+    sums = ["count(*) AS _all", "count(prb) AS _valid"]
     for name in levels:
-        eco = F.col(name) == "ECO"
         sums += [
-            F.sum(F.when(eco, wh).otherwise(0.0)).alias(f"_wh{name}"),
-            F.count_if(eco & valid).alias(f"_eco{name}"),
-            F.count_if(eco & valid & (F.col("prb") > F.lit(float(load_limit)))).alias(f"_risk{name}"),
+            f"sum(IF({name} = 'ECO', _wh, 0D)) AS _wh{name}",
+            f"count_if({name} = 'ECO' AND prb IS NOT NULL) AS _eco{name}",
+            f"count_if({name} = 'ECO' AND prb > {load_limit}) AS _risk{name}",
         ]
-    total = rows.agg(*sums)
+    total = rows.agg(*[F.expr(e) for e in sums])
     lines = [
-        F.struct(
-            F.lit(c.tau_on).alias("tau_on"),
-            fx.wh_to_kwh(F.coalesce(F.col(f"_wh{name}"), F.lit(0.0))).alias("saved_kwh"),
-            fx.percent_of(F.col(f"_risk{name}").cast("double"), F.col("_valid")).alias("risk_pct"),
-            fx.percent_of(F.col(f"_eco{name}").cast("double"), F.col("_all")).alias("eco_coverage_pct"),
-        )
+        f"""struct({c.tau_on!r}D AS tau_on, coalesce(_wh{name}, 0D) / 1000D AS saved_kwh,
+                   IF(_valid > 0, 100D * _risk{name} / _valid, 0D) AS risk_pct,
+                   IF(_all > 0, 100D * _eco{name} / _all, 0D) AS eco_coverage_pct)"""
         for name, c in levels.items()
     ]
-    return total.select(F.inline(F.array(*lines)))
+    return total.selectExpr(f"inline(array({', '.join(lines)}))")
 
 
 def safe_levels(sweep: DataFrame, max_risk_pct: float = 1.0) -> DataFrame:

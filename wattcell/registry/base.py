@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,6 @@ from pyspark.sql import types as T
 
 from wattcell.operators.policy import load_policy
 from wattcell.operators.prepare import prepare
-from wattcell.session import use_checkpoint_dir
 from wattcell.sources.adapters import events_telemetry
 
 ALPHA = 0.45
@@ -49,11 +47,6 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share."""
-    return f"{use_checkpoint_dir(spark)}/wattcell-{uuid.uuid4().hex}/{name}"
-
-
 # -- Spark inputs ------------------------------------------------------------------------
 
 

@@ -12,8 +12,9 @@ from wattcell.operators import kpis
 from wattcell.operators.metrics import best_load_threshold, binary_metrics, calibration_deciles, load_rank_scores
 from wattcell.operators.profiles import duplicate_profiles
 from wattcell.plans.policies import LEARNED, PolicySpec, policy_table
-from wattcell.registry.base import PREP, n, prep, prepared, query, r, score_sql, scored, scratch_path, sql
+from wattcell.registry.base import PREP, n, prep, prepared, query, r, score_sql, scored, sql
 from wattcell.schema import CELL
+from wattcell.session import shared_path
 from wattcell.sources.adapters import events_4g, is_weekday
 from wattcell.operators.prepare import prepare
 
@@ -226,7 +227,7 @@ def model_policy(spark, sf_dir):
     """Model stored, loaded, used for states; saving per station."""
     rows = prepared(spark, sf_dir)
     model, report = studies.train_report(rows, _LOGISTIC)
-    path = save_bundle(spark, model, report, scratch_path(spark, "models"))["model_path"]
+    path = save_bundle(spark, model, report, shared_path(spark, "models"))["model_path"]
     loaded = load_bundle(spark, path, TRANSFER)
     return kpis.bs_summary(policy_table(rows, PolicySpec(controller=LEARNED), model=loaded))
 

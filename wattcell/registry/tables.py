@@ -27,11 +27,11 @@ from wattcell.registry.base import (
     r,
     score_sql,
     scored,
-    scratch_path,
     sql,
     thr,
 )
 from wattcell.schema import canonicalize, with_headers
+from wattcell.session import shared_path
 from wattcell.sources import telemetry
 from wattcell.sources.adapters import events_4g, events_telemetry, lineitem_telemetry
 from wattcell.sources.sinks import write_csv
@@ -265,7 +265,7 @@ def _by_bin(df):
 def csv_source(spark, sf_dir):
     """Written as CSV with the source headers and clock text, then read and prepared."""
     rows = events_telemetry(spark, sf_dir).withColumn("ts", F.date_format("ts", "HH:mm")).drop("seq")
-    path = write_csv(with_headers(rows), scratch_path(spark, "telemetry.csv"))
+    path = write_csv(with_headers(rows), shared_path(spark, "telemetry.csv"))
     return _by_bin(telemetry.load_prepared(spark, path))
 
 
@@ -273,7 +273,7 @@ def csv_source(spark, sf_dir):
 def parquet_source(spark, sf_dir):
     """CSV materialized as Parquet, then read and prepared."""
     rows = events_telemetry(spark, sf_dir).withColumn("ts", F.date_format("ts", "HH:mm"))
-    path = write_csv(with_headers(rows), scratch_path(spark, "telemetry.csv"))
+    path = write_csv(with_headers(rows), shared_path(spark, "telemetry.csv"))
     return _by_bin(telemetry.load_prepared(spark, telemetry.ensure_parquet(spark, path)))
 
 
@@ -281,7 +281,7 @@ def parquet_source(spark, sf_dir):
 def stored_thresholds(spark, sf_dir):
     """Thresholds written once and attached by a later run."""
     rows = prepared(spark, sf_dir)
-    path = telemetry.thresholds_path(scratch_path(spark, "telemetry"), "Global")
+    path = telemetry.thresholds_path(shared_path(spark, "telemetry"), "Global")
     telemetry.ensure_thresholds(rows, "Global", path, decimals=DECIMALS)
     table = telemetry.read_thresholds(spark, path)
     return load_policy(rows, hysteresis=False, thresholds=table).select("seq", "p30", "p70", "state")
