@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import posixpath
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +140,8 @@ def fit_sleep_model(train: DataFrame, spec: TrainSpec = TrainSpec()) -> SleepMod
     use_checkpoint_dir(train.sparkSession)
     columns = feature_columns(train, spec.features)
     names = list(columns)
-    fill = {c: (0.0 if v is None else v) for c, v in medians(train.select(*[e.alias(c) for c, e in columns.items()]), names).items()}
+    found = medians(train.select(*[e.alias(c) for c, e in columns.items()]), names)
+    fill = {c: (0.0 if v is None else v) for c, v in found.items()}
     rows = _assembled(train, columns, fill, names).select(
         "_x", label(train).cast("double").alias("_y"), fold_of(group_key(CELL), spec.folds, spec.seed).alias("_fold")
     )

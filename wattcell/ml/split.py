@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wattcell.operators.ordered import null_safe
 from wattcell.operators.sampling import group_key, hash_cutoff, key_hash
 from wattcell.schema import CELL, require_columns
+from wattcell.session import materialize
 
 LAST_DAYS, CELL_GROUPS, STATION_GROUPS = "last_days_per_cell", "cell_group_holdout", "base_station_holdout"
 
@@ -30,10 +31,12 @@ def last_days_holdout(df: DataFrame, spec: SplitSpec = SplitSpec(), check: bool
     """Test rows are the last ``test_days`` days of each cell.
 
     The last day per cell is an aggregate joined back, not a window, so a huge cell does
-    not end up in one task.
+    not end up in one task. It is stored once for the check and the join, which is a
+    broadcast if that size allows.
     """
     require_columns(df, [*CELL, "day_index"], "last_days_holdout")
     last = df.groupBy(*CELL).agg(F.max("day_index").alias("_last"), F.min("day_index").alias("_first"))
+    last = materialize(last, "last_days")
     if check:
         # A cell gives training rows exactly if its first day lies before its last ones.
         span = last.agg(

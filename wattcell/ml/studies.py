@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattcell.ml.features import FeatureSpec, TRANSFER, feature_columns, label
+from wattcell.ml.features import FeatureSpec, TRANSFER, label
 from wattcell.ml.model import SleepModel, TrainSpec, fit_sleep_model
 from wattcell.ml.split import CELL_GROUPS, STATION_GROUPS, SplitSpec, adaptive_split, group_holdout, split_report
 from wattcell.operators import kpis
@@ -25,7 +25,7 @@ from wattcell.sources.sinks import report_rows
 
 METRICS = ("auroc", "auprc", "brier", "p_mean", "p_std")
 
-# The feature groups compared by the ablation study.
+# The feature groups compared by the ablation study.
 VARIANTS = {
     "full": FeatureSpec(energy=True, prev=True, time=True, time_cyclical=True),
     "no_energy": FeatureSpec(energy=False, prev=True, time=True, time_cyclical=True),
@@ -153,5 +153,6 @@ def transfer_profiles(model: SleepModel, tables: dict[str, DataFrame]) -> tuple[
         scored = model.score(df)
         profiles[name] = kpis.score_profile(scored)
         found = kpis.dataset_summary(scored.drop("sleep_on"), "p_sleep_on").first().asDict()
-        summary[name] = {"rows": found["n_rows"], "bs": found["n_bs"], "cells": found["n_cells"], "p_sleep_on_mean": found["p_mean"]}
+        counts = {"rows": found["n_rows"], "bs": found["n_bs"], "cells": found["n_cells"]}
+        summary[name] = counts | {"p_sleep_on_mean": found["p_mean"]}
     return profiles, summary

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattcell.operators.ordered import null_safe
+from wattcell.session import materialize
 
 MAX_DISTINCT = 250_000
 ACCURACY = 100_000
@@ -56,6 +57,8 @@ def _bracketed(df: DataFrame, keys: list[str], column: str, probs: list[float],
     brackets = values.groupBy(*keys).agg(
         F.count("_x").alias("n"), F.percentile_approx("_x", edges, accuracy).alias("_edges")
     )
+    # Stored, because it took a pass over the data and its true size decides the join.
+    brackets = materialize(brackets, "brackets")
     side = brackets.withColumnsRenamed({k: f"_b_{k}" for k in keys})
     if keys:
         located = values.join(side, null_safe(values, side, [(k, f"_b_{k}") for k in keys]))

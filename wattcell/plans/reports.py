@@ -106,7 +106,7 @@ def drilldown_report(view: DataFrame, bs: str | None = None) -> dict:
         "cells": cells,
         "sleep_bars": sleep_bars(cells),
         "saving_bars": saving_bars(cells),
-        "totals": {c: total[c] for c in ("baseline_wh", "eco_saved_wh", "eco_saved_pct", "baseline_display", "eco_saved_display")},
+        "totals": {c: total[c] for c in total if c.startswith(("baseline", "eco_saved"))},
     }
 
 

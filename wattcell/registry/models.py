@@ -158,13 +158,13 @@ def dup_profiles(spark, sf_dir):
 
 
 @query("dup_profiles_copies", sql(PREP, """
-copies AS (SELECT concat(p.bs, '_', k) AS bs, cell, tod_bin, seq, prb FROM prep p, range(3) c(k) WHERE k <= p.seq % 1 + 2)""",
+copies AS (SELECT bs, cell, tod_bin, seq, prb FROM prep
+           UNION ALL SELECT concat('copy of ', bs), cell, tod_bin, seq, prb FROM prep)""",
     _PROFILES.format(load="prb", source="copies"), _PROFILES_OUT))
 def dup_profiles_copies(spark, sf_dir):
-    """Every station three times under other names: all profiles are shared."""
+    """Every station once more under another name: all profiles are shared."""
     rows = prepared(spark, sf_dir)
-    copies = rows.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
-    return duplicate_profiles(copies.withColumn("bs", F.concat_ws("_", "bs", F.col("_k").cast("string"))))
+    return duplicate_profiles(rows.unionByName(rows.withColumn("bs", F.concat(F.lit("copy of "), "bs"))))
 
 
 # -- features ----------------------------------------------------------------------------

@@ -30,7 +30,7 @@ from wattcell.registry.base import (
     sql,
     thr,
 )
-from wattcell.schema import canonicalize, with_headers
+from wattcell.schema import with_headers
 from wattcell.session import shared_path
 from wattcell.sources import telemetry
 from wattcell.sources.adapters import events_4g, events_telemetry, lineitem_telemetry
@@ -307,7 +307,7 @@ def lineitem_thresholds(spark, sf_dir):
   SELECT a.*, CASE WHEN p30 IS NULL OR p70 IS NULL OR prb IS NULL THEN 'UNKNOWN' WHEN prb < p30 THEN 'SLEEP'
                    WHEN prb < p70 THEN 'ECO' ELSE 'FULL' END AS state
   FROM prep a LEFT JOIN thr t ON a.bs = t.bs AND a.cell = t.cell AND a.tod_bin = t.tod_bin)
-SELECT bs, state, {n('count(*)', 'n')}, {r('sum(traffic_kb)', 'traffic_kbyte')}, {r('avg(prb)', 'mean_prb')},
+SELECT bs, state, {n('count(*)', 'n')}, {r('sum(traffic_kb) / (1024.0 * 1024.0)', 'traffic_gib')}, {r('avg(prb)', 'mean_prb')},
        {r('sum(rru_w * 0.5)', 'baseline_wh')},
        {r("sum(CASE WHEN state = 'ECO' THEN 0.45 * rru_w * 0.5 ELSE 0 END)", 'eco_saved_wh')}
 FROM stated GROUP BY bs, state"""))
@@ -315,7 +315,7 @@ def lineitem_summary(spark, sf_dir):
     rows = load_policy(lineitem_telemetry(spark, sf_dir), "Per-Cell", ALPHA, hysteresis=False, decimals=DECIMALS)
     return rows.groupBy("bs", "state").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("traffic_kb").alias("traffic_kbyte"),
+        fx.kb_to_gib(F.sum("traffic_kb")).alias("traffic_gib"),
         F.avg("prb").alias("mean_prb"),
         F.sum("baseline_wh").alias("baseline_wh"),
         F.sum("eco_saved_wh").alias("eco_saved_wh"),
