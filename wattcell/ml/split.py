@@ -72,9 +72,12 @@ def adaptive_split(df: DataFrame, spec: SplitSpec = SplitSpec()) -> tuple[DataFr
 
 def describe_split(df: DataFrame) -> DataFrame:
     """Rows, stations, cell ids and day range of each side (one row per side)."""
-    days = [F.min("day_index").alias("day_min"), F.max("day_index").alias("day_max")] if "day_index" in df.columns else []
-    return df.groupBy("is_test").agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    dated = "day_index" in df.columns
+    ends = [F.min("day_index").alias("_min"), F.max("day_index").alias("_max")] if dated else []
+    per_cell = df.groupBy("is_test", *CELL).agg(F.count(F.lit(1)).alias("_n"), *ends)
+    days = [F.min("_min").alias("day_min"), F.max("_max").alias("day_max")] if dated else []
+    return per_cell.groupBy("is_test").agg(
+        F.sum("_n").alias("n_rows"),
         F.countDistinct("bs").alias("n_bs"),
         F.countDistinct("cell").alias("n_cells"),
         *days,

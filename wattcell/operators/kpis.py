@@ -189,13 +189,17 @@ def sleep_metrics_long(kpis: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """One row of totals. Cells are counted by cell id alone."""
-    totals = df.agg(
+    """One row of totals. Cells are counted by cell id alone.
+
+    Rows are combined per (station, cell) first: counting two sets of distinct values
+    multiplies its input, which should then be small.
+    """
+    measures = {"traffic_kb": "traffic_kbyte", "baseline_wh": "baseline_wh", "eco_saved_wh": "eco_saved_wh"}
+    per_cell = df.groupBy(*CELL).agg(*[F.sum(c).alias(name) for c, name in measures.items()])
+    totals = per_cell.agg(
         F.countDistinct("bs").alias("base_stations"),
         F.countDistinct("cell").alias("cells"),
-        _sum0("traffic_kb").alias("traffic_kbyte"),
-        _sum0("baseline_wh").alias("baseline_wh"),
-        _sum0("eco_saved_wh").alias("eco_saved_wh"),
+        *[_sum0(name).alias(name) for name in measures.values()],
     )
     return totals.withColumns(
         {
@@ -264,16 +268,25 @@ def coefficient_of_variation(df: DataFrame, column: str) -> DataFrame:
 
 def dataset_summary(df: DataFrame, p: str | None = None) -> DataFrame:
     """One row: rows, stations, cell ids, and the sleep share or mean score if present."""
-    extra = []
+    means = {}
     if "sleep_on" in df.columns:
-        extra.append(F.avg(F.col("sleep_on").cast("int")).alias("label_prevalence"))
+        means["label_prevalence"] = F.col("sleep_on").cast("int")
     if p:
-        extra.append(F.avg(p).alias("p_mean"))
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        means["p_mean"] = F.col(p)
+    parts = [F.count(F.lit(1)).alias("_n")]
+    for name, value in means.items():
+        parts += [F.sum(value).alias(f"_sum_{name}"), F.count(value).alias(f"_n_{name}")]
+    per_cell = df.groupBy(*CELL).agg(*parts)
+
+    def mean(name: str) -> Column:
+        rows = F.sum(f"_n_{name}")
+        return F.when(rows > 0, F.sum(f"_sum_{name}") / rows).alias(name)
+
+    return per_cell.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
         F.countDistinct("bs").alias("n_bs"),
         F.countDistinct("cell").alias("n_cells"),
-        *extra,
+        *[mean(name) for name in means],
     )
 
 

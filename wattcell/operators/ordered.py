@@ -52,14 +52,13 @@ class Running:
             return F.sum(self.value).over(frame)
         return F.last(self.value, ignorenulls=True).over(frame)
 
-    def total(self, order: Sequence[str]) -> Column:
+    def total(self, place: str) -> Column:
         """Value that a whole block passes on to the next one."""
         if self.how == "sum":
             return F.sum(self.value)
-        place = F.struct(*order)
         if self.how == "prev":
-            return F.max_by(_box(self.value), place)
-        return F.max_by(self.value, F.when(self.value.isNotNull(), place))
+            return _box(F.max_by(self.value, place))
+        return F.max_by(self.value, F.when(self.value.isNotNull(), F.col(place)))
 
     def merge(self, carry: Column) -> Column:
         here = F.col(self.name)
@@ -88,7 +87,8 @@ def running(
     """Add running columns per ``keys`` in ``order``.
 
     ``block`` names columns that cut a series into stretches contiguous in ``order``,
-    coarsest first. Rows whose first block column is NULL belong to an uncut series.
+    coarsest first, such that inside a stretch only the last column of ``order`` varies.
+    Rows whose first block column is NULL belong to an uncut series.
     ``write_totals`` stores the block totals at once, so that chained calls do not
     repeat the plan of ``df`` for every level of blocks.
     """
@@ -101,7 +101,7 @@ def running(
     totals = (
         df.filter(F.col(block[0]).isNotNull())
         .groupBy(*part)
-        .agg(*[c.total(order).alias(c.name) for c in columns])
+        .agg(*[c.total(order[-1]).alias(c.name) for c in columns])
     )
     if write_totals:
         totals = materialize(totals, "block_totals")
@@ -142,7 +142,7 @@ def running_per_cell(
     """:func:`running` for series inside a cell; hot cells are cut into blocks.
 
     ``slot`` is a whole number that never falls along ``order``; inside a slot the
-    order must end with ``seq``.
+    order must be that of ``seq``.
     """
     if HOT not in df.columns:
         return running(df, keys, order, columns)
