@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Call sites of column expressions are only needed for debugging; collecting them slows planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
