@@ -1,20 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models over runs of five symbols, one of toxic and one of ordinary documents, share their
-backoff: P(w | context, class) = max(n - D, 0) / N + D * T / N * S(w | shorter context), where S is the
-Kneser-Ney continuation distribution of both classes together. What a class has not seen falls
-back on the shared counts, so rare expressions weigh little either way. Texts are read as 32
-symbols (letters, digits, gaps, and four for other bytes), which bounds a model by 2^25 cells however
-large the corpus is; the counts are those of all labelled documents.
-
-A text's evidence is its log-likelihood ratio per symbol, over the whole text and over its most
-toxic ``STRETCH`` symbols, so that a few words in a long text still show. A logistic curve, fitted on
-labelled documents held back from the counts (a bounded sample of ``CALIBRATION`` rows), turns both into a
-probability.
+There are two models of each kind, one of toxic and one of ordinary documents, that share their
+backoff: P(w | context, class) = max(n - D, 0) / N + D * T / N * S(w), where n, N and T are the
+class's count, total and number of kinds, and S comes from both classes together. What a class has
+not seen falls back on the shared counts, so rare expressions weigh little either way.
+
+One kind reads runs of five symbols (letters, digits, gaps, and four for other bytes), with
+the continuation distribution of the shorter context as S. The other reads words, with their shared
+frequency as S. Runs number 2^25 at most and words are hashed to 2^25 cells, which bounds
+the models however large the corpus is; the counts are those of all labelled documents.
+
+A text's evidence is its log-likelihood ratio, normalised by length: per symbol over its most toxic
+``STRETCH`` symbols, per word over its ``TOP`` most toxic words, and of the most toxic word, so that a few words in a
+long text still show. A logistic curve, fitted on labelled documents held back from the counts (a
+bounded sample of ``CALIBRATION`` rows), turns them into a probability.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattcell.llm.links import small_side
+from wattcell.llm.text import hashed
 from wattcell.session import materialize
 
 DISCOUNT = 0.75
 STRETCH = 10
+TOP = 3
 CALIBRATION = 20_000
-RIDGE = 1.0
+RIDGE = 0.1
+EVIDENCE = ("stretch", "words", "word")
 PIECE = 1 << 20
 _BITS, _ORDER = 5, 5
 _CELLS = 1 << (_BITS * _ORDER)
@@ -46,6 +53,8 @@ def _symbols() -> np.ndarray:
 
 
 _TABLE = _symbols()
+#: Bytes of words: a to z and what belongs to other alphabets in UTF-8.
+_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def runs(text: str | None) -> Iterator[np.ndarray]:
@@ -66,73 +75,100 @@ def runs(text: str | None) -> Iterator[np.ndarray]:
         yield out
 
 
+def word_cells(text: str | None) -> np.ndarray:
+    """Cells of the words (runs of letters, a to z in lower case) of a text."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().translate(_LETTERS).split()
+    return (hashed(tokens) & np.uint64(_CELLS - 1)).astype(np.int64)
+
+
 @dataclass
 class Model:
-    """Log-likelihood ratios of the seen runs and of what else follows their contexts; logistic weights."""
+    """Log-likelihood ratios of the seen runs, of what else follows their contexts, and of words; logistic weights."""
 
-    cells: np.ndarray
-    ratios: np.ndarray
-    contexts: np.ndarray
-    defaults: np.ndarray
+    runs: tuple[np.ndarray, np.ndarray]
+    contexts: tuple[np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, np.ndarray]
+    other_words: float
     rate: float
     weights: np.ndarray | None = None
 
 
-def dense_table(cells: np.ndarray, ratios: np.ndarray, contexts: np.ndarray, defaults: np.ndarray) -> np.ndarray:
-    """The ratio of every possible run: its own, else that of its context, else 0."""
+def dense_tables(runs_: tuple, contexts: tuple, words: tuple, other_words: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ratio of every possible run (its own, else that of its context, else 0) and of every word cell."""
     dense = np.zeros((_CONTEXTS, 1 << _BITS), np.float16)
-    dense[contexts] = defaults[:, None]
+    dense[contexts[0]] = contexts[1][:, None]
     dense = dense.ravel()
-    dense[cells] = ratios
-    return dense
+    dense[runs_[0]] = runs_[1]
+    of_words = np.full(_CELLS, other_words, np.float16)
+    of_words[words[0]] = words[1]
+    return dense, of_words
 
 
-def evidence(table: np.ndarray, text: str | None) -> tuple[float, float]:
-    """Mean ratio over the text and over its most toxic stretch; 0 and 0 for a text without symbols."""
-    total, count, peak = 0.0, 0, -np.inf
+def evidence(tables: tuple[np.ndarray, np.ndarray], text: str | None) -> tuple[float, float, float]:
+    """Ratio per symbol of the most toxic stretch, mean of the most toxic words, and the highest; 0 for a text without any."""
+    stretch = -np.inf
     for part in runs(text):
-        ratios = table[part].astype(np.float64)
-        total += ratios[:PIECE].sum()
-        count += min(len(ratios), PIECE)
-        sums = np.concatenate([[0.0], np.cumsum(ratios)])
-        wide = min(STRETCH, len(ratios))
-        peak = max(peak, (sums[wide:] - sums[:-wide]).max() / wide)
-    return (total / count, peak) if count else (0.0, 0.0)
+        sums = np.concatenate([[0.0], np.cumsum(tables[0][part], dtype=np.float64)])
+        wide = min(STRETCH, len(part))
+        stretch = max(stretch, (sums[wide:] - sums[:-wide]).max() / wide)
+    ratios = tables[1][word_cells(text)].astype(np.float64)
+    top = np.partition(ratios, -TOP)[-TOP:] if len(ratios) > TOP else ratios
+    return (stretch if np.isfinite(stretch) else 0.0), (top.mean() if len(top) else 0.0), (top.max() if len(top) else 0.0)
+
+
+class _Tally:
+    """Counts of numbers whose lowest bit is the class, merged as they grow."""
+
+    def __init__(self):
+        self.cells, self.counts = np.empty(0, np.int64), np.empty((0, 2), np.int64)
+        self.waiting, self.held = [], 0
+
+    def add(self, cells: np.ndarray, toxic: int) -> None:
+        self.waiting.append((cells.astype(np.int64) << 1) | toxic)
+        self.held += len(cells)
+        if self.held > 2_000_000:
+            self.fold()
+
+    def fold(self) -> None:
+        if not self.waiting:
+            return
+        seen, times = np.unique(np.concatenate(self.waiting), return_counts=True)
+        keys, place = np.unique(np.concatenate([self.cells, seen >> 1]), return_inverse=True)
+        merged = np.zeros((len(keys), 2), np.int64)
+        merged[place[: len(self.cells)]] += self.counts
+        np.add.at(merged, (place[len(self.cells) :], seen & 1), times)
+        self.cells, self.counts, self.waiting, self.held = keys, merged, [], 0
 
 
 def _count(texts: DataFrame) -> DataFrame:
-    """``cell, n0, n1``: how often each run stands in ordinary and in toxic texts (``text, toxic``)."""
+    """``word, cell, n0, n1``: how often each run and each word stands in ordinary and toxic texts (``text, toxic``)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counts = np.empty(0, np.int64), np.empty((0, 2), np.int64)
-        waiting: list[np.ndarray] = []
-        held = 0
-
-        def fold() -> None:
-            nonlocal cells, counts, waiting, held
-            # The class is the lowest bit, so one sort counts both.
-            seen, times = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.empty(0, np.int64),) * 2
-            keys, place = np.unique(np.concatenate([cells, seen >> 1]), return_inverse=True)
-            merged = np.zeros((len(keys), 2), np.int64)
-            merged[place[: len(cells)]] += counts
-            np.add.at(merged, (place[len(cells) :], seen & 1), times)
-            cells, counts, waiting, held = keys, merged, [], 0
-
+        tallies = _Tally(), _Tally()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for part in runs(text.as_py()):
-                    waiting.append((part[:PIECE].astype(np.int64) << 1) | toxic)
-                    held += len(part)
-                if held > 2_000_000:
-                    fold()
-        fold()
-        for i in range(0, len(cells), 100_000):
-            part = slice(i, i + 100_000)
-            columns = [pa.array(x, pa.int64()) for x in (cells[part], counts[part, 0], counts[part, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["cell", "n0", "n1"])
+                    tallies[0].add(part[:PIECE], toxic)
+                tallies[1].add(word_cells(text.as_py()), toxic)
+        for word, tally in enumerate(tallies):
+            tally.fold()
+            for i in range(0, len(tally.cells), 100_000):
+                part = slice(i, i + 100_000)
+                columns = [pa.array(x, pa.int64()) for x in (tally.cells[part], tally.counts[part, 0], tally.counts[part, 1])]
+                yield pa.RecordBatch.from_arrays([pa.array([bool(word)] * len(columns[0])), *columns], names=["word", "cell", "n0", "n1"])
+
+    found = texts.select("text", "toxic").mapInArrow(scan, "word boolean, cell long, n0 long, n1 long")
+    return found.groupBy("word", "cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
 
-    found = texts.select("text", "toxic").mapInArrow(scan, "cell long, n0 long, n1 long")
-    return found.groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def _word_ratios(counts: DataFrame) -> tuple[DataFrame, float]:
+    """Log-likelihood ratios of words (``cell, ratio``) and that of words not seen."""
+    sums = counts.agg(*[F.sum(f"n{c}") for c in (0, 1)], *[F.count_if(F.col(f"n{c}") > 0) for c in (0, 1)]).first()
+    total, kinds = [max(x, 1) for x in sums[:2]], [max(x, 1) for x in sums[2:]]
+    back = (F.col("n0") + F.col("n1")) / F.lit(float(sum(total)))
+    parts = [(F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) + back * (DISCOUNT * kinds[c])) / total[c] for c in (0, 1)]
+    other = math.log(kinds[1] / total[1]) - math.log(kinds[0] / total[0])
+    return counts.select("cell", F.log(parts[1] / parts[0]).alias("ratio")), other
 
 
 def _ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,9 +211,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([[b[0] - slope @ mean], slope])
 
 
-def _columns(table: DataFrame, *names: str) -> list[np.ndarray]:
+def _columns(table: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
     arrow = table.select(*names).toArrow()
-    return [arrow.column(n).to_numpy() for n in names]
+    return tuple(arrow.column(n).to_numpy() for n in names)
 
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -192,38 +228,40 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     texts = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(small_side(marks), "id")
     held = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(4)) == 0
     counts = materialize(_count(texts.where(~held)), "counts")
-    sums = counts.agg(F.sum("n0"), F.sum("n1")).first()
+    sums = counts.where("NOT word").agg(F.sum("n0"), F.sum("n1")).first()
     rate = marks.agg(F.avg("toxic")).first()[0] or 0.0
-    empty = np.empty(0)
-    model = Model(empty.astype(np.int64), empty, empty.astype(np.int64), empty, rate)
+    nothing = (np.empty(0, np.int64), np.empty(0))
+    model = Model(nothing, nothing, nothing, 0.0, rate)
     if not sums[0] or not sums[1]:
         return model
-    cells, defaults = _ratios(counts)  # at most 2^25 and 2^20 rows
-    model.cells, model.ratios = _columns(cells, "cell", "ratio")
-    model.contexts, model.defaults = _columns(defaults, "context", "ratio")
+    cells, defaults = _ratios(counts.where("NOT word"))  # at most 2^25 and 2^20 rows
+    model.runs, model.contexts = _columns(cells, "cell", "ratio"), _columns(defaults, "context", "ratio")
+    words, model.other_words = _word_ratios(counts.where("word"))  # at most 2^25 rows
+    model.words = _columns(words, "cell", "ratio")
     seen = _evidence(texts.where(held), model, "toxic")
     sample = seen.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
-    mean, peak, toxic = _columns(sample, "mean", "peak", "toxic")
+    *columns, toxic = _columns(sample, *EVIDENCE, "toxic")
     if 0 < toxic.sum() < len(toxic):
-        model.weights = _logistic(np.column_stack([mean, peak]), toxic)
+        model.weights = _logistic(np.column_stack(columns), toxic)
     return model
 
 
 def _evidence(texts: DataFrame, model: Model, *more: str) -> DataFrame:
-    """``id, mean, peak`` and the columns ``more`` of ``id, text``."""
-    shared = texts.sparkSession.sparkContext.broadcast((model.cells, model.ratios, model.contexts, model.defaults))  # at most 2^25 cells
+    """``id``, the columns ``more`` and the evidence of ``id, text``."""
+    parts = (model.runs, model.contexts, model.words, model.other_words)  # at most 2^25 cells each
+    shared = texts.sparkSession.sparkContext.broadcast(parts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dense_table(*shared.value)
+        tables = dense_tables(*shared.value)
         for batch in batches:
-            found = [evidence(table, text.as_py()) for text in batch.column("text")]
+            found = [evidence(tables, text.as_py()) for text in batch.column("text")]
             rest = batch.drop_columns(["text"])
-            columns = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, "mean", "peak"])
+            columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(len(EVIDENCE))]
+            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, *EVIDENCE])
 
     texts = texts.select("id", *more, "text")
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text"]
-    return texts.mapInArrow(scan, ", ".join([*kinds, "mean double", "peak double"]))
+    return texts.mapInArrow(scan, ", ".join([*kinds, *[f"{name} double" for name in EVIDENCE]]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,6 +274,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if model.weights is None:
         return texts.select(F.col("id").alias(id_col), F.lit(float(model.rate)).alias("score"))
-    a, b, c = (float(w) for w in model.weights)
-    at = F.lit(a) + F.lit(b) * F.col("mean") + F.lit(c) * F.col("peak")
+    at = F.lit(float(model.weights[0]))
+    for name, weight in zip(EVIDENCE, model.weights[1:], strict=True):
+        at = at + F.lit(float(weight)) * F.col(name)
     return _evidence(texts, model).select(F.col("id").alias(id_col), (F.lit(1.0) / (F.lit(1.0) + F.exp(-at))).alias("score"))
