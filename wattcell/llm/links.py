@@ -1,9 +1,9 @@
 """Linked groups from hash buckets, without emitting all pairs of a group.
 
 Candidates are rows that share a bucket. Every bucket first compares its members with its
-smallest and largest one; members that this joins into one group need no further pair.
-Only in buckets that still hold several groups the pairs across groups are compared, so
-every candidate pair is either compared or already joined through others.
+smallest one and with its hub, the member whose buckets are the fullest; members that this
+joins into one group need no further pair. Only in buckets that still hold several groups the pairs
+across groups are compared, so every candidate pair is either compared or already joined through others.
 """
 
 from __future__ import annotations
@@ -69,39 +69,55 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked_groups(buckets: DataFrame, verify: Verify, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+def linked_groups(
+    buckets: DataFrame,
+    verify: Verify,
+    features: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column],
+) -> DataFrame:
     """``node, component`` of all nodes that a verified pair links.
 
-    ``buckets`` holds ``bucket, node`` and may hold further columns of the node; ``near`` is a
-    cheap condition on such columns of two aliases that every link must meet. ``verify`` takes
-    pairs ``a, b`` and returns those that link.
+    ``buckets`` holds ``bucket, node``; rows may repeat. ``near`` is a cheap condition that links meet,
+    on columns that ``features`` adds to given nodes, under two aliases; it spares pairs across
+    groups. ``verify`` takes pairs ``a, b`` and returns those that link.
     """
     sizes = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
     sizes = materialize(sizes.where("lo < hi"), "buckets")
-    large = materialize(sizes.where("n > 2").select("bucket", "lo", "hi"), "large")
-    members = materialize(buckets.join(small_side(large), "bucket"), "members")
-    ends = sizes.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    for end in ("lo", "hi"):
+    large = materialize(sizes.where("n > 2").select("bucket", "lo", "n"), "large")
+    members = materialize(buckets.join(small_side(large), "bucket").distinct(), "members")
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = members.join(weights, "node").select("bucket", F.struct("weight", "node").alias("rank"))
+    hubs = ranked.groupBy("bucket").agg(F.max("rank").alias("rank")).select("bucket", F.col("rank.node").alias("hub"))
+    members = materialize(members.drop("n").join(hubs, "bucket"), "members")
+    ends = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    for end in ("lo", "hub"):
         ends = ends.unionByName(members.where(f"node <> {end}").select(*_ordered("node", end)))
-    first = materialize(verify(ends.distinct()).select("a", "b"), "links")
+    ends = materialize(ends.distinct(), "ends")
+    first = materialize(verify(ends).select("a", "b"), "links")
     groups = components(first)
 
-    rest = members.drop("lo", "hi").join(groups, "node", "left")
+    rest = members.select("bucket", "node").join(groups, "node", "left")
     rest = rest.withColumn("component", F.coalesce("component", "node"))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
     rest = materialize(rest.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
+    nodes = materialize(rest.select("node").distinct(), "nodes")
+    rest = materialize(rest.join(features(nodes), "node"), "mixed")
     x, y = rest.alias("x"), rest.alias("y")
-    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
-    if near is not None:
-        on = on & near("x", "y")
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & near("x", "y")
     pairs = x.join(y, on).select(*_ordered("x.node", "y.node")).distinct()
-    pairs = materialize(pairs.join(ends.distinct(), ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(pairs.join(ends, ["a", "b"], "left_anti"), "pairs")
     second = materialize(verify(pairs).select("a", "b"), "links")
     if second.isEmpty():
         return groups
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
 
+def pair_nodes(pairs: DataFrame) -> DataFrame:
+    """``node``: what the pairs name, stored and marked for broadcast where its size allows it."""
+    both = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    return small_side(materialize(both, "nodes"))
+
+
 def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets (``node, grams``: distinct hashes) overlap by ``percent`` of their union."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
