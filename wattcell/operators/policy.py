@@ -167,7 +167,7 @@ def probability_states(
             states[name] = F.when(base != odd, "ECO").otherwise("FULL")
         else:
             states[name] = F.coalesce(F.col(f"_a_{name}"), F.lit("FULL"))
-    scratch = [c for c in df.columns if c.startswith(("_n_", "_a_"))]
+    scratch = [f"_n_{name}" for name in flips] + [f"_a_{name}" for name in forced]
     return df.withColumns(states).drop(*scratch)
 
 

@@ -22,7 +22,10 @@ def key_hash(seed: int, key: Column) -> Column:
 
 
 def group_key(keys: list[str]) -> Column:
-    return cell_label(*[F.coalesce(F.col(k), F.lit("")) for k in CELL]) if keys == CELL else F.col(keys[0])
+    if len(keys) == 1:
+        return F.col(keys[0])
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return cell_label(*texts) if keys == CELL else F.concat_ws("||", *texts)
 
 
 def hash_cutoff(df: DataFrame, keys: list[str], seed: int, wanted: Callable[[int], int]) -> tuple[str, int, int]:

@@ -28,11 +28,11 @@ def pareto_sweep(
     grid: Sequence[float] | None = None,
     offset: float = 0.10,
     load_limit: float = 20.0,
-    sample_fraction: float = 0.20,
+    sample_fraction: float = 1.0,
     seed: int = 42,
     p: str = "p_sleep_on",
 ) -> DataFrame:
-    """Per entry level: energy saved, risk share and ECO share on a sample of cells.
+    """Per entry level: energy saved, risk share and ECO share, on all cells unless ``sample_fraction`` asks for fewer.
 
     Every level is one state column over the same ordered pass, so the rows are shuffled
     once and never multiplied by the grid; one aggregate then yields all levels.

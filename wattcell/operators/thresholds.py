@@ -59,7 +59,7 @@ def series_thresholds(
 
 
 def attach_thresholds(df: DataFrame, table: DataFrame, scope: str, check_unique: bool = False) -> DataFrame:
-    """Thresholds beside every row. NULL keys match NULL keys.
+    """Thresholds beside every row. NULL keys match NULL keys; two thresholds for one key are an error.
 
     The global table has at most 49 rows and is broadcast. The others grow with the
     network, so their join is left to Spark: a broadcast if the measured size allows
@@ -70,7 +70,10 @@ def attach_thresholds(df: DataFrame, table: DataFrame, scope: str, check_unique:
     df = repair_suffixes(df).drop("p30", "p70", "state")
     if check_unique and not table.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ValueError(f"attach_thresholds: several thresholds for one key of {keys}")
-    side = table.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "p30", "p70")
+    # One row per key; more than one would multiply the rows of df, so the job fails on it.
+    twice = F.raise_error(F.lit(f"attach_thresholds: several thresholds for one key of {keys}")).cast("double")
+    once = [F.when(F.count("*") > 1, twice).otherwise(F.max(p)).alias(p) for p in ("p30", "p70")]
+    side = table.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(*once)
     on = null_safe(df, side, [(k, f"_t_{k}") for k in keys])
     joined = df.join(F.broadcast(side) if scope == "Global" else side, on, "left")
     return ensure_threshold_columns(joined.drop(*[f"_t_{k}" for k in keys]))

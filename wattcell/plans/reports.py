@@ -30,12 +30,14 @@ def state_bars(distribution: DataFrame) -> DataFrame:
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, key: Sequence[str], keep: Sequence[str] = (), max_rows: int = 5000, seed: int = 0
+    df: DataFrame, x: str, y: str, key: Sequence[str], keep: Sequence[str] = (), max_rows: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """Rows with both values, at most ``max_rows`` of them; ``key`` identifies a row."""
+    """Rows with both values, or a sample of ``max_rows`` of them where a chart asks for it; ``key`` identifies a row."""
     require_columns(df, [x, y, *key], "scatter_points")
     wanted = dict.fromkeys([*key, *[c for c in keep if c in df.columns], x, y])
     points = df.select(*wanted).withColumns({x: fx.number(F.col(x)), y: fx.number(F.col(y))}).dropna(subset=[x, y])
+    if max_rows is None:
+        return points
     identity = F.concat_ws("||", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
     return downsample(points, identity, max_rows, seed)
 
@@ -136,7 +138,7 @@ def risk_report(
     load_limit: float = 20.0,
     grid: Sequence[float] | None = None,
     offset: float = 0.10,
-    sample_fraction: float = 0.20,
+    sample_fraction: float = 1.0,
 ) -> dict:
     """Present risk, the sweep re-simulated on this view, and the recommended level."""
     risk = kpis.risk_metrics(view, load_limit).first().asDict()

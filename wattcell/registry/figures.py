@@ -364,11 +364,17 @@ swept AS (
 _SWEEP_OUT = f"SELECT {r('tau_on')}, {r('saved_kwh')}, {r('risk_pct')}, {r('eco_coverage_pct')} FROM swept"
 
 
-@query("pareto_sweep", sql(score_sql(), _SAMPLED, pol_probability(_GRID, "sampled"), _SWEPT, _SWEEP_OUT))
+@query("pareto_sweep", sql(score_sql(), pol_probability(_GRID), _SWEPT, _SWEEP_OUT))
 def pareto_sweep(spark, sf_dir):
     return sweep.pareto_sweep(scored(spark, sf_dir), ALPHA)
 
 
+@query("pareto_sweep_sampled", sql(score_sql(), _SAMPLED, pol_probability(_GRID, "sampled"), _SWEPT, _SWEEP_OUT))
+def pareto_sweep_sampled(spark, sf_dir):
+    """A fifth of the cells, for a first look."""
+    return sweep.pareto_sweep(scored(spark, sf_dir), ALPHA, sample_fraction=0.20)
+
+
 @query("pareto_sweep_one_level", sql(score_sql(True), pol_probability(_FLAT), _SWEPT, _SWEEP_OUT))
 def pareto_sweep_flat(spark, sf_dir):
     """No gap between the levels, every cell: scores on a level swap the state."""
@@ -376,13 +382,13 @@ def pareto_sweep_flat(spark, sf_dir):
     return sweep.pareto_sweep(scored(spark, sf_dir, tenths=True), ALPHA, grid, offset=0.0, sample_fraction=1.0)
 
 
-@query("recommend_tau", sql(score_sql(), _SAMPLED, pol_probability(_GRID, "sampled"), _SWEPT, f"""
+@query("recommend_tau", sql(score_sql(), pol_probability(_GRID), _SWEPT, f"""
 {_SWEEP_OUT} WHERE risk_pct <= 1.0 ORDER BY swept.saved_kwh DESC, swept.tau_on LIMIT 1"""))
 def recommend_tau(spark, sf_dir):
     return sweep.recommended_level(sweep.pareto_sweep(scored(spark, sf_dir), ALPHA))
 
 
-@query("safe_levels", sql(score_sql(), _SAMPLED, pol_probability(_GRID, "sampled"), _SWEPT, f"""
+@query("safe_levels", sql(score_sql(), pol_probability(_GRID), _SWEPT, f"""
 {_SWEEP_OUT} WHERE risk_pct <= 5.0"""))
 def safe_levels(spark, sf_dir):
     return sweep.safe_levels(sweep.pareto_sweep(scored(spark, sf_dir), ALPHA), 5.0)
