@@ -239,7 +239,12 @@ def test_url_rules(spark):
 
 def test_languages(spark, docs, nothing):
     letters = {"xx": "abcde", "yy": "vwxyz"}
-    text = lambda lang, seed, n: " ".join("".join(random.Random(f"{lang}{seed}{k}").choices(letters[lang], k=5)) for k in range(n))
+    known = {lang: ["".join(random.Random(f"{lang}{k}").choices(abc, k=7)) for k in range(40)] for lang, abc in letters.items()}
+
+    def text(lang, seed, n):
+        draw = random.Random(f"{lang}{seed}")
+        return " ".join(draw.choice(known[lang]) for _ in range(n))
+
     train = [(i, text(lang, i, 60), lang) for i, lang in enumerate(["xx", "yy"] * 40)]
     frame = spark.createDataFrame(train, "doc_id long, text string, lang string")
     learnt = language_id.learn(frame, F.lit(True))
