@@ -165,6 +165,17 @@ def test_repeated_lines_match_brute_force(spark, docs, nothing):
     assert line_dedup.line_report(nothing).count() == 0 and line_dedup.drop_repeated_lines(nothing).count() == 0
 
 
+def test_line_signatures_of_long_lines_and_repeated_rows(spark):
+    long = " ".join(sentence(i, 10) for i in range(70))
+    frame = spark.createDataFrame([(1, long)] * 300 + [(2, long), (3, "same " * 1000), (4, "--\n \n")], "doc_id long, text string")
+    marks = {r["id"]: r for r in line_dedup.line_marks(frame, "doc_id", "text").collect()}
+    words = [r["h"] for r in spark.createDataFrame([(w,) for w in _forms(long)[0].split()], "w string").selectExpr("xxhash64(w) AS h").collect()]
+    want = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in words) > len(words))
+    assert set(marks) == {1, 2, 3} and marks[2]["n_words"] == len(words) and marks[1]["n_words"] == 300 * len(words)
+    assert marks[1]["simhash"] % 2**64 == marks[2]["simhash"] % 2**64 == want
+    assert marks[3]["simhash"] == spark.sql("SELECT xxhash64('same') AS h").first()["h"]
+
+
 def test_contained_items_match_brute_force(spark, docs, nothing):
     item = sentence(50, 25)
     items = [(0, item), (1, "one two"), (2, None), (3, ""), (None, item), (4, sentence(51, 25)), (0, item)]
