@@ -6,10 +6,12 @@ similarity 0.8 misses all of them with probability 0.59^12, 2 in 1,000, and one
 Colliding paragraphs are verified by exact Jaccard similarity and joined into
 components. Passages inside paragraphs are found by windows of ``WINDOW`` words that begin where a shingle
 hash is the smallest of ``GAP`` neighbours: any run of ``WINDOW + GAP - 1`` words (49) shared by two
-documents holds a window that begins at the same word in both. Windows that repeat a shingle in
+documents holds a window that begins at the same word in both. Windows are only seeds: each is compared with the first place of
+its words, and with the first in its own document, and grown word by word to the whole equal run. Windows that repeat a shingle in
 themselves, as in looping lines, are left to line deduplication.
 
-Of each component the first unit by document and word stays; the others are to be removed.
+Of each component the first unit by document and word stays; the others are to be removed. A passage that
+loops within a document keeps its first ``WINDOW`` words at least.
 """
 
 from __future__ import annotations
@@ -88,6 +90,22 @@ def _anchors(h: np.ndarray) -> np.ndarray:
     return at[inside < at]
 
 
+def _grown(h: np.ndarray, g: np.ndarray, at: np.ndarray, first: np.ndarray, same: bool) -> Iterator[tuple[int, int, int]]:
+    """Start, words and first place of the equal runs of ``h`` and ``g`` around windows; ``same`` if both are one document."""
+    for offset in np.unique(at - first):
+        low, high = max(0, offset), min(len(h), len(g) + offset)
+        breaks = np.flatnonzero(h[low:high] != g[low - offset : high - offset]) + low
+        edges = np.concatenate([[low - 1], breaks, [high]])
+        starts = at[(at - first == offset) & (at >= low)]
+        k = np.searchsorted(edges, starts, side="right")
+        for i in np.unique(k[(k < len(edges)) & (edges[np.minimum(k, len(edges) - 1)] - starts >= WINDOW)]):
+            begin, end = int(edges[i - 1]) + 1, int(edges[i])
+            place = begin - int(offset)
+            begin = max(begin, place + WINDOW) if same else begin
+            if begin < end:
+                yield begin, end - begin, place
+
+
 def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Paragraphs and windows of all documents, by place (in words) and name."""
 
@@ -152,8 +170,34 @@ def _paragraph_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: s
     return found.mapInArrow(scan, "node long, grams array<long>").dropDuplicates(["node"])
 
 
+def _whole_runs(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, start, n_words, first_doc, first_start``: the whole equal runs around windows (``doc, start, first_doc, first_start``)."""
+    wanted = seeds.groupBy("doc", "first_doc").agg(F.collect_set(F.struct("start", "first_start")).alias("at"))
+    wanted = materialize(wanted, "seeds")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    firsts = texts.select(F.col("doc").alias("first_doc"), F.col("text").alias("first_text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                out: list[tuple] = []
+                for row in batch.slice(i, 64).to_pylist():
+                    h, g = (hashed(row[c].encode("utf-8", "surrogatepass").lower().split()) for c in ("text", "first_text"))
+                    at, first = (np.array([p[c] for p in row["at"]], np.int64) for c in ("start", "first_start"))
+                    doc, first_doc = row["doc"], row["first_doc"]
+                    out += [(doc, start, n, first_doc, place) for start, n, place in _grown(h, g, at, first, doc == first_doc)]
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "start", "n_words", "first_doc", "first_start"])
+
+    found = wanted.join(texts, "doc").join(firsts, "first_doc").where("text IS NOT NULL AND first_text IS NOT NULL")
+    found = found.select("doc", "text", "first_doc", "first_text", "at")
+    return found.mapInArrow(scan, "doc long, start int, n_words int, first_doc long, first_start int")
+
+
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``doc, start, n_words, first_doc, first_start`` of every unit that repeats an earlier one."""
+    """``doc, start, n_words, first_doc, first_start`` of every paragraph and run of words that repeats an earlier one."""
     found = materialize(units(docs, id_col, text_col), "units")
     names = [f"b{i}" for i in range(BANDS)]
     paragraphs = found.where("paragraph")
@@ -182,7 +226,13 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = places.groupBy("paragraph", "group").agg(F.min(F.struct("doc", "start")).alias("first"))
     first = materialize(first.select("paragraph", "group", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start")), "first")
     gone = places.join(small_side(first), ["paragraph", "group"]).where("doc <> first_doc OR start <> first_start")
-    return gone.select("doc", "start", "n_words", "first_doc", "first_start")
+    gone = gone.select("doc", "start", "n_words", "first_doc", "first_start", "paragraph")
+    # Windows that a document holds more than once are also seeds of runs within it.
+    own = places.where("NOT paragraph").groupBy("doc", "group").agg(F.min("start").alias("own"), F.max("start").alias("last"))
+    own = places.where("NOT paragraph").join(own.where("own < last"), ["doc", "group"]).where("start > own")
+    seeds = gone.where("NOT paragraph").select("doc", "start", "first_doc", "first_start")
+    seeds = seeds.unionByName(own.select("doc", "start", F.col("doc").alias("first_doc"), F.col("own").alias("first_start")))
+    return gone.where("paragraph").drop("paragraph").unionByName(_whole_runs(docs, seeds, id_col, text_col))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
