@@ -7,8 +7,7 @@ Colliding paragraphs are verified by exact Jaccard similarity and joined into
 components. Passages inside paragraphs are found by windows of ``WINDOW`` words that begin where a shingle
 hash is the smallest of ``GAP`` neighbours: any run of ``WINDOW + GAP - 1`` words (49) shared by two
 documents holds a window that begins at the same word in both. Windows are only seeds: each is compared with the first place of
-its words, and with the first in its own document, and grown word by word to the whole equal run. Windows that repeat a shingle in
-themselves, as in looping lines, are left to line deduplication.
+its words, and with the first in its own document, and grown word by word to the whole equal run.
 
 Of each component the first unit by document and word stays; the others are to be removed. A passage that
 loops within a document keeps its first ``WINDOW`` words at least.
@@ -79,15 +78,18 @@ def _anchors(h: np.ndarray) -> np.ndarray:
     grams = shingles(h, GRAM)
     values = grams[:last]
     if last <= GAP:
-        at = np.array([int(values.argmin())])
-    else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(values, GAP).argmin(axis=1) + np.arange(last - GAP + 1))
-    order = np.argsort(grams, kind="stable")
-    before = np.full(len(grams), -1, np.int64)
-    same = grams[order[1:]] == grams[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    inside = np.lib.stride_tricks.sliding_window_view(before, WINDOW - GRAM + 1)[at].max(axis=1)
-    return at[inside < at]
+        return np.array([int(values.argmin())])
+    return np.unique(np.lib.stride_tricks.sliding_window_view(values, GAP).argmin(axis=1) + np.arange(last - GAP + 1))
+
+
+def _thin_loops(begin: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which windows to keep: of equal windows that each overlap the one before, the first two tell the period."""
+    order = np.lexsort((begin, names))
+    follows = np.zeros(len(begin), bool)
+    follows[1:] = (names[order[1:]] == names[order[:-1]]) & (np.diff(begin[order]) < WINDOW)
+    keep = np.ones(len(begin), bool)
+    keep[order[1:]] = ~(follows[1:] & follows[:-1])
+    return keep
 
 
 def _grown(h: np.ndarray, g: np.ndarray, at: np.ndarray, first: np.ndarray, same: bool) -> Iterator[tuple[int, int, int]]:
@@ -126,6 +128,7 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     long = counts >= MIN_WORDS
                     starts, stops = (ends - counts)[long], ends[long]
                     begin = _anchors(h)
+                    begin = begin[_thin_loops(begin, _runs(h, begin, begin + WINDOW)[0])]
                     all_starts, all_ends = np.concatenate([starts, begin]), np.concatenate([stops, begin + WINDOW])
                     k1, k2 = _runs(h, all_starts, all_ends)
                     columns[0].append(np.full(len(all_starts), doc, np.int64))
