@@ -12,8 +12,8 @@ the models however large the corpus is; the counts are those of all labelled doc
 
 A text's evidence is its log-likelihood ratio, normalised by length: per symbol over its most toxic
 ``STRETCH`` symbols, per word over its ``TOP`` most toxic words, and of the most toxic word, so that a few words in a
-long text still show. A logistic curve, fitted on labelled documents held back from the counts (a
-bounded sample of ``CALIBRATION`` rows), turns them into a probability.
+long text still show. A logistic curve turns them into a probability. It is fitted on a quarter of the labelled documents
+(a bounded sample of ``CALIBRATION`` rows of it) with a model that counts the others; the final model counts all.
 """
 
 from __future__ import annotations
@@ -216,11 +216,25 @@ def _columns(table: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
     return tuple(arrow.column(n).to_numpy() for n in names)
 
 
+def _model(counts: DataFrame, rate: float) -> Model:
+    """The ratios of all counts, without weights; no ratios where a class has no run."""
+    nothing = (np.empty(0, np.int64), np.empty(0))
+    model = Model(nothing, nothing, nothing, 0.0, rate)
+    sums = counts.where("NOT word").agg(F.sum("n0"), F.sum("n1")).first()
+    if not sums[0] or not sums[1]:
+        return model
+    cells, defaults = _ratios(counts.where("NOT word"))  # at most 2^25 and 2^20 rows
+    model.runs, model.contexts = _columns(cells, "cell", "ratio"), _columns(defaults, "context", "ratio")
+    words, model.other_words = _word_ratios(counts.where("word"))  # at most 2^25 rows
+    model.words = _columns(words, "cell", "ratio")
+    return model
+
+
 def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model of the labelled documents for which ``training`` holds.
 
     Labels other than 0 and 1, null ids and null texts teach nothing; an id labelled both ways is toxic.
-    A quarter of the documents, by a hash of the id, is held back for the logistic curve.
+    A quarter of the documents, by a hash of the id, is held back while the logistic curve is fitted, then counted too.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     marks = materialize(marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic")), "labels")
@@ -228,21 +242,19 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     texts = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(small_side(marks), "id")
     held = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(4)) == 0
     counts = materialize(_count(texts.where(~held)), "counts")
-    sums = counts.where("NOT word").agg(F.sum("n0"), F.sum("n1")).first()
     rate = marks.agg(F.avg("toxic")).first()[0] or 0.0
-    nothing = (np.empty(0, np.int64), np.empty(0))
-    model = Model(nothing, nothing, nothing, 0.0, rate)
-    if not sums[0] or not sums[1]:
-        return model
-    cells, defaults = _ratios(counts.where("NOT word"))  # at most 2^25 and 2^20 rows
-    model.runs, model.contexts = _columns(cells, "cell", "ratio"), _columns(defaults, "context", "ratio")
-    words, model.other_words = _word_ratios(counts.where("word"))  # at most 2^25 rows
-    model.words = _columns(words, "cell", "ratio")
-    seen = _evidence(texts.where(held), model, "toxic")
-    sample = seen.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
-    *columns, toxic = _columns(sample, *EVIDENCE, "toxic")
-    if 0 < toxic.sum() < len(toxic):
-        model.weights = _logistic(np.column_stack(columns), toxic)
+    weights = None
+    model = _model(counts, rate)
+    if len(model.runs[0]):
+        seen = _evidence(texts.where(held), model, "toxic")
+        sample = seen.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
+        *columns, toxic = _columns(sample, *EVIDENCE, "toxic")
+        if 0 < toxic.sum() < len(toxic):
+            weights = _logistic(np.column_stack(columns), toxic)
+    del model
+    both = counts.unionByName(_count(texts.where(held))).groupBy("word", "cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    model = _model(materialize(both, "counts"), rate)
+    model.weights = weights
     return model
 
 
