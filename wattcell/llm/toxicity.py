@@ -12,7 +12,7 @@ the models however large the corpus is; the counts are those of all labelled doc
 
 A text's evidence is its log-likelihood ratio, normalised by length: per symbol over its most toxic
 ``STRETCH`` symbols, per word over its ``TOP`` most toxic words, and of the most toxic word, so that a few words in a
-long text still show. A logistic curve turns them into a probability. It is fitted on a quarter of the labelled documents
+long text still show, and per symbol and per word over the whole text, so that many mild expressions show as well. A logistic curve turns them into a probability. It is fitted on a quarter of the labelled documents
 (a bounded sample of ``CALIBRATION`` rows of it) with a model that counts the others; the final model counts all.
 """
 
@@ -36,7 +36,7 @@ STRETCH = 10
 TOP = 3
 CALIBRATION = 20_000
 RIDGE = 0.1
-EVIDENCE = ("stretch", "words", "word")
+EVIDENCE = ("stretch", "words", "word", "all_symbols", "all_words")
 PIECE = 1 << 20
 _BITS, _ORDER = 5, 5
 _CELLS = 1 << (_BITS * _ORDER)
@@ -104,16 +104,20 @@ def dense_tables(runs_: tuple, contexts: tuple, words: tuple, other_words: float
     return dense, of_words
 
 
-def evidence(tables: tuple[np.ndarray, np.ndarray], text: str | None) -> tuple[float, float, float]:
-    """Ratio per symbol of the most toxic stretch, mean of the most toxic words, and the highest; 0 for a text without any."""
-    stretch = -np.inf
+def evidence(tables: tuple[np.ndarray, np.ndarray], text: str | None) -> tuple[float, ...]:
+    """Ratio per symbol of the most toxic stretch, mean of the most toxic words, the highest, and the means of all
+    symbols and words; 0 for a text without any."""
+    stretch, total, n = -np.inf, 0.0, 0
     for part in runs(text):
         sums = np.concatenate([[0.0], np.cumsum(tables[0][part], dtype=np.float64)])
-        wide = min(STRETCH, len(part))
+        wide, own = min(STRETCH, len(part)), min(PIECE, len(part))
         stretch = max(stretch, (sums[wide:] - sums[:-wide]).max() / wide)
+        total, n = total + sums[own], n + own
     ratios = tables[1][word_cells(text)].astype(np.float64)
+    if not len(ratios):
+        return (stretch, 0.0, 0.0, total / n, 0.0) if n else (0.0,) * len(EVIDENCE)
     top = np.partition(ratios, -TOP)[-TOP:] if len(ratios) > TOP else ratios
-    return (stretch if np.isfinite(stretch) else 0.0), (top.mean() if len(top) else 0.0), (top.max() if len(top) else 0.0)
+    return (stretch, top.mean(), top.max(), total / n, ratios.mean()) if n else (0.0, top.mean(), top.max(), 0.0, ratios.mean())
 
 
 class _Tally:
