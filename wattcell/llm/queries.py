@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattcell.llm import (
     decontaminate,
     embedding_dedup,
+    filter_audit,
     language_id,
     line_dedup,
     minmax_dedup,
@@ -227,3 +228,48 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeated_lines")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_filter_audit",
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+f AS (
+  SELECT d.doc_id, part,
+         concat(CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails,
+         d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM d),
+c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+  FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+r AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, contains(fails, letter) AS has, fails = letter AS sole,
+         before <> '' AND regexp_matches(fails, '[' || coalesce(nullif(before, ''), '-') || ']') AS gone
+  FROM c, s),
+t AS (
+  SELECT part, filter_order, step, letter,
+         cast(sum(CASE WHEN NOT gone AND NOT has THEN n ELSE 0 END) AS bigint) AS kept,
+         cast(sum(CASE WHEN NOT gone AND has THEN n ELSE 0 END) AS bigint) AS removed,
+         cast(sum(CASE WHEN gone AND has THEN n ELSE 0 END) AS bigint) AS redundant,
+         cast(sum(CASE WHEN sole THEN n ELSE 0 END) AS bigint) AS unique_fails,
+         cast(sum(CASE WHEN NOT gone AND has THEN good ELSE 0 END) AS bigint) AS good_lost,
+         cast(sum(CASE WHEN NOT gone AND has THEN toxic ELSE 0 END) AS bigint) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       cast(sum(removed) OVER (PARTITION BY part, letter) AS bigint) AS shapley
+FROM t
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
