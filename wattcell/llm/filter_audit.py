@@ -1,8 +1,8 @@
 """How text filters interact: what each removes, alone and behind others, in every order of application.
 
 Word counts come from a sparse document-term matrix. Every Arrow batch is cut into shards of about
-``SHARD_BYTES`` of text; a shard is encoded against its own short dictionary first, so that only
-distinct words travel. The words of all shards are then numbered once for the whole corpus (rank within
+``SHARD_BYTES`` of text; a shard is encoded, slice by slice, against its own dictionary first, so that
+only distinct words travel. The words of all shards are then numbered once for the whole corpus (rank within
 a hash bucket plus the sizes of the buckets before it), and the shards take over these numbers: compressed
 sparse rows (``indptr``, ``terms``, ``counts``). Row sums are word counts, stored entries are distinct words.
 
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from wattcell.session import materialize
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 BUCKETS = 4096
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
@@ -96,15 +97,20 @@ def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind))
 
 
-def _cuts(sizes: np.ndarray) -> list[int]:
-    """Where shards begin: at least one document each, else up to SHARD_BYTES."""
-    cuts, held = [0], 0
-    for i, size in enumerate(sizes):
-        if held and held + size > SHARD_BYTES:
-            cuts.append(i)
-            held = 0
-        held += int(size)
-    return [*cuts, len(sizes)]
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with up to ``most`` bytes of text, at least one row each."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        if held and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
 def _local_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
@@ -118,27 +124,35 @@ def _local_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            cuts = _cuts(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) if batch.num_rows else []
-            for a, b in zip(cuts, cuts[1:]):
-                ids, texts, parts = (batch.column(i).slice(a, b - a) for i in range(3))
-                data, offsets = _bytes(texts)
-                words, rows = split_words(data, offsets)
-                coded = words.dictionary_encode()
-                width = max(len(coded.dictionary), 1)
-                cells, counts = np.unique(rows * width + coded.indices.to_numpy(), return_counts=True)
-                pieces = (data[i:j] for i, j in zip(offsets, offsets[1:]))
+            for docs_of_shard in _pieces(batch, SHARD_BYTES):
+                coded, rows, chars, upper, special, digests, begin = [], [], [], [], [], [], 0
+                for part in _pieces(docs_of_shard, SLICE_BYTES):
+                    data, offsets = _bytes(part.column("text"))
+                    words, row = split_words(data, offsets)
+                    coded.append(words.dictionary_encode())
+                    rows.append(row + begin)
+                    chars.append(_count((data & 0xC0) != 0x80, offsets))
+                    upper.append(_count(_UPPER[data], offsets))
+                    special.append(_count(_SPECIAL[data], offsets) > 0)
+                    digests += [blake2b(data[i:j], digest_size=16).digest() for i, j in zip(offsets, offsets[1:])]
+                    begin += part.num_rows
+                chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+                words = chunks[0].dictionary
+                width = max(len(words), 1)
+                cells = _merged(rows) * width + _merged([c.indices.to_numpy() for c in chunks])
+                cells, counts = np.unique(cells, return_counts=True)
                 columns = {
                     "shard": pa.array([shard], pa.int64()),
-                    "ids": _list(ids, ids.type),
-                    "parts": _list(parts, pa.string()),
-                    "chars": _list(_count((data & 0xC0) != 0x80, offsets), pa.int64()),
-                    "upper": _list(_count(_UPPER[data], offsets), pa.int64()),
-                    "special": _list(_count(_SPECIAL[data], offsets) > 0, pa.bool_()),
-                    "digests": _list([blake2b(p, digest_size=16).digest() for p in pieces], pa.binary()),
-                    "indptr": _list(np.searchsorted(cells, np.arange(b - a + 1) * width), pa.int32()),
+                    "ids": _list(docs_of_shard.column("ids"), docs_of_shard.column("ids").type),
+                    "parts": _list(docs_of_shard.column("parts"), pa.string()),
+                    "chars": _list(_merged(chars), pa.int64()),
+                    "upper": _list(_merged(upper), pa.int64()),
+                    "special": _list(_merged(special), pa.bool_()),
+                    "digests": _list(digests, pa.binary()),
+                    "indptr": _list(np.searchsorted(cells, np.arange(begin + 1) * width), pa.int32()),
                     "codes": _list(cells % width, pa.int32()),
                     "counts": _list(counts, pa.int32()),
-                    "words": _list(coded.dictionary, pa.binary()),
+                    "words": _list(words, pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                 shard += 1
@@ -166,11 +180,25 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = ranked.join(F.broadcast(before), "bucket").withColumn("term_id", F.col("before") + F.col("nth") - 1)
     lookup = named.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "term_id"))).alias("m"))
     lookup = lookup.select("shard", F.col("m.term_id").alias("lookup"))
-    terms = F.transform("codes", lambda c: F.get("lookup", c))
-    shards = local.join(lookup, "shard", "left").withColumn("terms", terms).drop("words", "codes", "lookup")
+    shards = _translated(local.drop("words").join(lookup, "shard", "left"))
     return TermMatrix(materialize(shards, "matrix"), named.select("term_id", "word").distinct())
 
 
+def _translated(shards: DataFrame) -> DataFrame:
+    """``terms`` instead of ``codes``: every code looked up in the shard's list ``lookup``."""
+
+    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                codes, lookup = (row.column(c).flatten().to_numpy() for c in ("codes", "lookup"))
+                terms = _list(lookup[codes] if len(codes) else np.empty(0, np.int64), pa.int64())
+                yield row.drop_columns(["codes", "lookup"]).append_column("terms", terms)
+
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in shards.schema.fields if f.name not in ("codes", "lookup")]
+    return shards.mapInArrow(translate, ", ".join([*kept, "terms array<long>"]))
+
+
 def failures(matrix: TermMatrix) -> DataFrame:
     """One row per document: ``id, part, digest`` and ``fails``, the letters of the failed filters A to D."""
     rows = matrix.rows("ids", "parts", "digests", "chars", "upper", "special")

@@ -15,6 +15,7 @@ from wattcell.llm import (
     line_dedup,
     minmax_dedup,
     mixing,
+    multiset_hash,
     paragraph_dedup,
     tool_chat,
     toxicity,
@@ -273,3 +274,8 @@ FROM t
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
