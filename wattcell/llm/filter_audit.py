@@ -2,9 +2,9 @@
 
 Word counts come from a sparse document-term matrix. Every Arrow batch is cut into shards of about
 ``SHARD_BYTES`` of text; a shard is encoded, slice by slice, against its own dictionary first, so that
-only distinct words travel. The words of all shards are then numbered once for the whole corpus (rank within
-a hash bucket plus the sizes of the buckets before it), and the shards take over these numbers: compressed
-sparse rows (``indptr``, ``terms``, ``counts``). Row sums are word counts, stored entries are distinct words.
+only distinct words travel. The words of all shards are then numbered once for the whole corpus (by their rank
+in one of ``BUCKETS`` hash buckets), and the shards take over these numbers: compressed sparse rows, kept
+as the bytes of three integer arrays. Row sums are word counts, stored entries are distinct words.
 
 Failures are combined to one row per part and set of failed filters before orders are expanded, so
 the orders cost nothing that grows with the corpus. Copies are found on digests: rows are counted per
@@ -25,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattcell.session import materialize
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 SLICE_BYTES = 4 << 20
 BUCKETS = 4096
 FILTERS = "ABCDE"
@@ -44,21 +45,32 @@ _SPECIAL = np.isin(np.arange(256), list(SPECIAL))
 
 @dataclass(frozen=True)
 class TermMatrix:
-    """``shards``: one row per shard, with per-document lists and the sparse rows. ``dictionary``: ``term_id, word``."""
+    """``shards``: one row per shard, with lists of what is known of each document and its sparse rows.
+
+    ``indptr``, ``terms`` and ``counts`` are little-endian 64-bit integers: the entries of document i stand at indptr[i] to
+    indptr[i + 1]. ``dictionary``: ``term_id, word``.
+    """
 
     shards: DataFrame
     dictionary: DataFrame
 
-    def rows(self, *columns: str) -> DataFrame:
-        """One row per document: the lists ``columns``, ``n_words`` (row sum) and ``n_distinct`` (stored entries)."""
+    def rows(self) -> DataFrame:
+        """One row per document: its columns, ``n_words`` (row sum) and ``n_distinct`` (stored entries)."""
+        kept = [f for f in self.shards.schema.fields if isinstance(f.dataType, T.ArrayType)]
 
-        def row(i: Column) -> Column:
-            start, end = F.get("indptr", i), F.get("indptr", i + 1)
-            total = F.aggregate(F.slice("counts", start + 1, end - start), F.lit(0).cast("long"), lambda a, c: a + c)
-            return F.struct(*[F.get(c, i).alias(c) for c in columns], total.alias("n_words"), (end - start).alias("n_distinct"))
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    indptr, counts = (np.frombuffer(row.column(c)[0].as_py(), "<i8") for c in ("indptr", "counts"))
+                    upto = np.append(0, np.cumsum(counts))
+                    columns = [row.column(f.name).flatten() for f in kept]
+                    columns += [pa.array(np.diff(upto[indptr])), pa.array(np.diff(indptr))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), "n_words", "n_distinct"])
 
-        numbers = F.sequence(F.lit(0), F.size("indptr") - 2)
-        return self.shards.select(F.explode(F.transform(numbers, row)).alias("r")).select("r.*")
+        schema = [f"{f.name} {f.dataType.elementType.simpleString()}" for f in kept]
+        slim = self.shards.select(*[f.name for f in kept], "indptr", "counts")
+        return slim.mapInArrow(measure, ", ".join([*schema, "n_words long, n_distinct long"]))
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +109,10 @@ def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind))
 
 
+def _blob(values: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([values.astype(kind).tobytes()], pa.binary())
+
+
 def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with up to ``most`` bytes of text, at least one row each."""
     start, held = 0, 0
@@ -149,9 +165,9 @@ def _local_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) ->
                     "upper": _list(_merged(upper), pa.int64()),
                     "special": _list(_merged(special), pa.bool_()),
                     "digests": _list(digests, pa.binary()),
-                    "indptr": _list(np.searchsorted(cells, np.arange(begin + 1) * width), pa.int32()),
-                    "codes": _list(cells % width, pa.int32()),
-                    "counts": _list(counts, pa.int32()),
+                    "indptr": _blob(np.searchsorted(cells, np.arange(begin + 1) * width), "<i8"),
+                    "codes": _blob(cells % width, "<i4"),
+                    "counts": _blob(counts, "<i4"),
                     "words": _list(words, pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -160,7 +176,7 @@ def _local_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) ->
     return thin.mapInArrow(
         encode,
         f"shard long, ids array<{id_type}>, parts array<string>, chars array<long>, upper array<long>, special array<boolean>, "
-        "digests array<binary>, indptr array<int>, codes array<int>, counts array<int>, words array<binary>",
+        "digests array<binary>, indptr binary, codes binary, counts binary, words array<binary>",
     )
 
 
@@ -168,16 +184,13 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The document-term matrix of whole texts; words are runs of bytes other than space and x09 to x0D.
 
     Null texts and parts count as empty. Every row of ``docs`` is a row of the matrix, rows with a null or
-    repeated id too. Term numbers run from 0 without gaps and depend on the words alone. Other columns play no part.
+    repeated id too. Numbers of terms depend on the words alone. Other columns play no part.
     """
     local = materialize(_local_shards(docs, id_col, text_col, part_col), "shards")
     seen = local.select("shard", F.posexplode("words").alias("code", "word"))
-    seen = seen.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
-    nth = F.dense_rank().over(W.partitionBy("bucket").orderBy("word"))
-    ranked = materialize(seen.withColumn("nth", nth), "ranked")
-    sizes = ranked.groupBy("bucket").agg(F.max("nth").cast("long").alias("n"))
-    before = sizes.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("before"))  # BUCKETS rows
-    named = ranked.join(F.broadcast(before), "bucket").withColumn("term_id", F.col("before") + F.col("nth") - 1)
+    seen = seen.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    nth = F.dense_rank().over(W.partitionBy("bucket").orderBy("word")) - 1
+    named = seen.select("shard", "code", "word", (nth * F.lit(BUCKETS).cast("long") + F.col("bucket")).alias("term_id"))
     lookup = named.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "term_id"))).alias("m"))
     lookup = lookup.select("shard", F.col("m.term_id").alias("lookup"))
     shards = _translated(local.drop("words").join(lookup, "shard", "left"))
@@ -191,17 +204,18 @@ def _translated(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                codes, lookup = (row.column(c).flatten().to_numpy() for c in ("codes", "lookup"))
-                terms = _list(lookup[codes] if len(codes) else np.empty(0, np.int64), pa.int64())
-                yield row.drop_columns(["codes", "lookup"]).append_column("terms", terms)
+                codes, counts = (np.frombuffer(row.column(c)[0].as_py(), "<i4") for c in ("codes", "counts"))
+                terms = row.column("lookup").flatten().to_numpy()[codes] if len(codes) else codes
+                row = row.drop_columns(["codes", "counts", "lookup"])
+                yield row.append_column("terms", _blob(terms, "<i8")).append_column("counts", _blob(counts, "<i8"))
 
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in shards.schema.fields if f.name not in ("codes", "lookup")]
-    return shards.mapInArrow(translate, ", ".join([*kept, "terms array<long>"]))
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in shards.schema.fields if f.name not in ("codes", "counts", "lookup")]
+    return shards.mapInArrow(translate, ", ".join([*kept, "terms binary, counts binary"]))
 
 
 def failures(matrix: TermMatrix) -> DataFrame:
     """One row per document: ``id, part, digest`` and ``fails``, the letters of the failed filters A to D."""
-    rows = matrix.rows("ids", "parts", "digests", "chars", "upper", "special")
+    rows = matrix.rows()
     tests = {
         "A": F.col("n_words") < LEAST_WORDS,
         "B": F.lit(100) * F.col("n_distinct") < F.lit(LEAST_DISTINCT_PERCENT) * F.col("n_words"),
