@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattcell.llm import (
+    chat_repair,
     decontaminate,
     embedding_dedup,
     filter_audit,
@@ -279,3 +280,93 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_fingerprints")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def damaged(conversations: DataFrame) -> tuple[DataFrame, Column]:
+    """Turns damaged by the hash of ``conv_id:turn``, and how often each of them counts."""
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c != ":" else F.lit(c) for c in ("conv_id", ":", "turn")])
+    kind = F.crc32(key.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = conversations.select(
+        "conv_id", "turn", F.when(kind == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(kind == 1, F.lit("")).when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"), kind.alias("kind"),
+    )
+    return rows, F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+
+
+
+def _plus(key: str, price: str, letter: str) -> str:
+    """SQL that adds an edit to a key: the cost in six digits, then the edits."""
+    return f"format('{{:06d}}', substr({key}, 1, 6)::INT + {price}) || substr({key}, 7) || '{letter}'"
+
+
+#: Keys of the cheapest way to each state: k0 nothing yet, k1 opening system turn, k2 user, k3 answer.
+_REPAIR_STEP = f"""
+SELECT conv_id, i, k0, k1, k2, least(k3, {_plus('k2', '5', 'I')}) AS k3 FROM (
+  SELECT conv_id, i, k0, k1, least(k2, {_plus('k0', '5', 'I')}, {_plus('k1', '5', 'I')}, {_plus('k3', '5', 'I')}) AS k2, k3 FROM (
+    SELECT q.conv_id, q.i, {_plus('k0', '2', 'D')} AS k0,
+           least({_plus('k1', '2', 'D')}, CASE WHEN NOT gone AND ini = 's' THEN {_plus('k0', 'extra', 'K')} END) AS k1,
+           least({_plus('k2', '2', 'D')},
+                 CASE WHEN NOT gone THEN least({_plus('k0', '1 + extra', 'R')}, {_plus('k1', '1 + extra', 'R')}, {_plus('k3', '1 + extra', 'R')}) END,
+                 CASE WHEN NOT gone AND ini = 'u' THEN least({_plus('k0', 'extra', 'K')}, {_plus('k1', 'extra', 'K')}, {_plus('k3', 'extra', 'K')}) END) AS k2,
+           least({_plus('k3', '2', 'D')}, CASE WHEN NOT gone THEN {_plus('k2', '1 + extra', 'R')} END,
+                 CASE WHEN NOT gone AND ini = 'a' THEN {_plus('k2', 'extra', 'K')} END) AS k3
+    FROM way JOIN q ON q.conv_id IS NOT DISTINCT FROM way.conv_id AND q.i = way.i + 1))
+"""
+
+
+@query(
+    "op13_chat_repair",
+    rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(
+           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, substr(role, 1, 1) AS ini,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail
+  FROM d),
+m AS (
+  SELECT *, tail = '' AS blank, tail <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+         lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au') AS illegal
+  FROM o),
+q AS (
+  SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND tail NOT IN ('.', '!', '?') AS truncated,
+         CASE WHEN tail IN ('.', '!', '?') THEN 0 ELSE 5 END AS extra
+  FROM m),
+way AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000' AS k0, NULL::VARCHAR AS k1, '000005I' AS k2, '000010II' AS k3 FROM c
+  UNION ALL
+  {_REPAIR_STEP.strip()}),
+e AS (
+  SELECT conv_id, substr(k, 1, 6)::BIGINT AS cost, substr(k, 7) AS audit
+  FROM (SELECT conv_id, least(k0, k3) AS k FROM way QUALIFY i = max(i) OVER (PARTITION BY conv_id))),
+l AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM e),
+p AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS edit, length(replace(substr(audit, 1, j), 'I', '')) AS i,
+         length(replace(substr(audit, 1, j), 'D', '')) AS nth FROM l),
+k AS (
+  SELECT p.conv_id, p.j, p.edit, p.nth, CASE WHEN p.edit <> 'I' THEN q.role END AS role, CASE WHEN p.edit = 'I' THEN '' ELSE q.text END AS text,
+         max(CASE WHEN p.nth = 1 AND p.edit = 'K' AND q.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS opens
+  FROM p LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM p.conv_id AND q.i = p.i WHERE p.edit <> 'D'),
+t AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - opens) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS text
+  FROM k GROUP BY conv_id),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM q GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = damaged(table(spark, sf_dir, "conversations"))
+    return chat_repair.repair_conversations(rows, copies=copies)
