@@ -118,35 +118,38 @@ def tables() -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
     return vectors, target, price
 
 
-def block_numbers(symbols: bytes) -> list[int]:
+def block_numbers(symbols: bytes) -> np.ndarray:
     padded = np.frombuffer(symbols + bytes([NOTHING]) * (-len(symbols) % BLOCK), np.uint8).reshape(-1, BLOCK)
-    return (padded.astype(np.int64) @ SYMBOLS ** np.arange(BLOCK - 1, -1, -1)).tolist()
+    return padded @ (SYMBOLS ** np.arange(BLOCK - 1, -1, -1)).astype(np.int16)
 
 
 def repair(symbols: bytes) -> tuple[int, str]:
-    """Cost and edit letters of the cheapest repair, ties by the ASCII-least string."""
+    """Cost and edit letters of the cheapest repair, ties by the ASCII-least string; some five bytes of memory a turn."""
     vectors, target, price = tables()
-    numbers, starts, at, cost = block_numbers(symbols), [], 0, 0
-    for number in numbers:
-        starts.append(at)
+    numbers, at, cost = block_numbers(symbols), 0, 0
+    starts = np.empty(len(numbers), np.int16)
+    for k, number in enumerate(numbers):
+        starts[k] = at
         cost += int(price[at, number])
         at = int(target[at, number])
     ends = vectors[at]
     low = min(ends[s] for s in ACCEPTED)
     alive = _marked(ends, frozenset(s for s in ACCEPTED if ends[s] == low))
-    plans = [(_choices(ends, alive, {}),)]
+    last = _choices(ends, alive, {})
+    marked = [alive] * len(numbers)
     for k in reversed(range(len(numbers))):
-        alive, plan = _expanded(starts[k], symbols[k * BLOCK : (k + 1) * BLOCK], alive)
-        plans.append(plan)
-    letters, state = [], START
-    for block in reversed(plans):
+        marked[k] = alive
+        alive, _ = _expanded(int(starts[k]), symbols[k * BLOCK : (k + 1) * BLOCK], alive)
+    letters, state = bytearray(), START
+    for k in range(len(numbers) + 1):
+        block = _expanded(int(starts[k]), symbols[k * BLOCK : (k + 1) * BLOCK], marked[k])[1] if k < len(numbers) else (last,)
         for plan in block:
             while state in plan:
                 letter, state = plan[state]
-                letters.append(letter)
+                letters += letter.encode()
                 if letter != "I":
                     break
-    return cost + low, "".join(letters)
+    return cost + low, letters.decode()
 
 
 @lru_cache(maxsize=1 << 16)
