@@ -95,6 +95,50 @@ def _without_sleep(spark, tmp_path):
     return path
 
 
+def _in_files(spark, path, sizes, write):
+    """Consecutive rows of one cell in a file for each of ``sizes``; ``prb`` is the place of the row."""
+    start = 0
+    for k, size in enumerate(sizes):
+        part = schema.with_headers(rows(spark, [float(start + i) for i in range(size)]).drop("seq"))
+        write(part.coalesce(1).sortWithinPartitions("PRB Usage Ratio (%)").write.mode("append"), f"{path}/part={k}")
+        start += size
+
+
+@pytest.mark.parametrize("limit", ["128m", "2k"])
+def test_order_over_several_files(spark, tmp_path, limit):
+    sizes = [3, 400, 1, 90]
+    csv, parquet = str(tmp_path / "t.csv"), str(tmp_path / "t.parquet")
+    _in_files(spark, csv, sizes, lambda w, p: w.option("header", True).csv(p))
+    _in_files(spark, parquet, sizes, lambda w, p: w.parquet(p))
+    settings = {"spark.sql.files.maxPartitionBytes": limit, "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for path in (csv, parquet):
+            df = telemetry.read_telemetry(spark, path)
+            assert "part" in df.columns and not [c for c in df.columns if c.startswith("_")]
+            assert [(r.seq, r.prb) for r in df.orderBy("seq").collect()] == [(i, float(i)) for i in range(sum(sizes))]
+            bins = [i % 48 for size in sizes for i in range(size)]  # every file starts at midnight
+            falls = [b < a for a, b in zip(bins, bins[1:])]
+            days = telemetry.load_prepared(spark, path, day_mode="sequence").orderBy("seq").collect()
+            assert [r.tod_bin for r in days] == bins
+            assert [r.day_index for r in days] == [sum(falls[:i]) for i in range(len(bins))]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
+def test_filters_reach_the_scan_without_stored_order(spark, tmp_path, capsys):
+    path = str(tmp_path / "t.parquet")
+    rows(spark, [1.0, 2.0, 3.0]).drop("seq").write.parquet(path)
+    df = telemetry.read_telemetry(spark, path).where("bs = 'b'").select("seq", "prb")
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(bs,b)" in plan
+    assert "ReadSchema: struct<bs:string,prb:double" in plan
+    assert sorted((r.seq, r.prb) for r in df.collect()) == [(0, 1.0), (1, 2.0), (2, 3.0)]
+
+
 def test_reports(spark, tmp_path):
     report = {"a": 1, "b": {"c": [1.5, None], "d": (1, 2)}}
     path = sinks.write_report(spark, report, str(tmp_path / "r"))

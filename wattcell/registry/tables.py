@@ -277,6 +277,20 @@ def parquet_source(spark, sf_dir):
     return _by_bin(telemetry.load_prepared(spark, telemetry.ensure_parquet(spark, path)))
 
 
+@query("csv_files_sequence", sql(TEL, f"""
+SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, bs, cell, {r('prb')}, strftime(ts, '%H:%M') AS ts FROM tel"""))
+def csv_files_sequence(spark, sf_dir):
+    """Several CSV files, small ones first: rows are numbered in the order of the files."""
+    rows = events_telemetry(spark, sf_dir).withColumn("ts", F.date_format("ts", "HH:mm"))
+    last = rows.agg(F.max("seq").alias("last")).scalar()
+    # Ranges of the arrival number that grow: a hundredth of the rows, three, five and so on.
+    parts = rows.withColumn("part", F.floor(10 * F.sqrt(F.col("seq") / (last + 1))).cast("int"))
+    path = shared_path(spark, "telemetry.csv")
+    parts = parts.repartition("part").sortWithinPartitions("part", "seq").drop("seq")
+    with_headers(parts).write.partitionBy("part").option("header", True).csv(path)
+    return telemetry.read_telemetry(spark, path, "csv").select("seq", "bs", "cell", "prb", "ts")
+
+
 @query("stored_thresholds", sql(pol_plain(), "SELECT seq, p30, p70, state FROM pol"))
 def stored_thresholds(spark, sf_dir):
     """Thresholds written once and attached by a later run."""

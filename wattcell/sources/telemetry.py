@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ def typed(df: DataFrame) -> DataFrame:
     """Short names, text keys, numeric measures (NULL where unreadable), and ``seq``.
 
     ``seq`` is the arrival order. A table that stores it keeps it; else rows are
-    numbered as they are read, which is stable for unchanged files and settings.
+    numbered as they come (for files see :func:`numbered`).
     """
     df = canonicalize(df)
     casts = {c: F.col(c).cast("string") for c in CELL if c in df.columns}
@@ -41,6 +41,31 @@ def typed(df: DataFrame) -> DataFrame:
     return df.withColumns(casts)
 
 
+def numbered(raw: DataFrame, fmt: str) -> DataFrame:
+    """Adds ``seq``, the place of a row in its files: files in the order of their paths, rows as they stand in them.
+
+    The order in which Spark packs files into tasks plays no part. A pass that reads no columns counts the rows of every
+    file (Parquet) or split (CSV), and prefix sums of these counts give the number before each. Parquet rows know their
+    place in the file, so filters still reach the scan. CSV rows are counted within their split, which
+    one task reads from start to end; :func:`ensure_parquet` saves that pass for later runs.
+    """
+    place = {"_file": F.col("_metadata.file_path")}
+    if fmt == "parquet":
+        place |= {"_start": F.lit(0).cast("long"), "_row": F.col("_metadata.row_index")}
+    else:
+        place |= {"_start": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    splits = raw.select(*[c.alias(name) for name, c in place.items()]).groupBy("_file", "_start")
+    splits = splits.agg(F.min("_row").alias("_least"), F.count("*").alias("_n"))
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_n"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", F.sum("_n").over(earlier.orderBy("_file")).alias("_files_before"))  # one row a file
+    within = F.sum("_n").over(earlier.partitionBy("_file").orderBy("_start"))
+    before = F.coalesce("_files_before", F.lit(0)) + F.coalesce(within, F.lit(0)) - F.col("_least")
+    starts = splits.join(files, "_file").select("_file", "_start", before.alias("_before"))
+    rows = raw.withColumns(place).join(starts, ["_file", "_start"])
+    return rows.withColumn("seq", F.col("_row") + F.col("_before")).drop("_file", "_start", "_row", "_before")
+
+
 def read_telemetry(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Telemetry from CSV or Parquet, by extension unless ``fmt`` says otherwise."""
     fmt = fmt or _format_of(path)
@@ -50,7 +75,7 @@ def read_telemetry(spark: SparkSession, path: str, fmt: str | None = None) -> Da
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(path) from error
         raise
-    df = typed(raw)
+    df = typed(raw if "seq" in canonicalize(raw).columns else numbered(raw, fmt))
     validate(df, REQUIRED_KEYS, where="read_telemetry")
     return df
 
