@@ -209,25 +209,27 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = seen.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
     nth = F.dense_rank().over(W.partitionBy("bucket").orderBy("word")) - 1
     named = seen.select("shard", "code", "word", (nth * F.lit(BUCKETS).cast("long") + F.col("bucket")).alias("term_id"))
-    lookup = named.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "term_id"))).alias("m"))
-    lookup = lookup.select("shard", F.col("m.term_id").alias("lookup"))
+    lookup = named.groupBy("shard").agg(F.collect_list(F.struct("code", "term_id")).alias("m"))
+    lookup = lookup.select("shard", F.col("m.code").alias("places"), F.col("m.term_id").alias("numbers"))
     shards = _translated(local.drop("words").join(lookup, "shard", "left"))
     return TermMatrix(_stored(shards, "matrix"), named.select("term_id", "word").distinct())
 
 
 def _translated(shards: DataFrame) -> DataFrame:
-    """``terms`` instead of ``codes``: every code looked up in the shard's list ``lookup``."""
+    """``terms`` instead of ``codes``: the term of code ``places[i]`` is ``numbers[i]``."""
 
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 codes, counts = (_unpacked(row.column(c)[0].as_py()) for c in ("codes", "counts"))
-                terms = row.column("lookup").flatten().to_numpy()[codes] if len(codes) else codes
-                row = row.drop_columns(["codes", "counts", "lookup"])
-                yield row.append_column("terms", _blob(terms, "<i8")).append_column("counts", _blob(counts, "<i8"))
+                places, terms = row.column("places").flatten().to_numpy(), row.column("numbers").flatten().to_numpy()
+                lookup = np.empty(len(places), np.int64)
+                lookup[places] = terms
+                row = row.drop_columns(["codes", "counts", "places", "numbers"])
+                yield row.append_column("terms", _blob(lookup[codes], "<i8")).append_column("counts", _blob(counts, "<i8"))
 
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in shards.schema.fields if f.name not in ("codes", "counts", "lookup")]
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in shards.schema.fields if f.name not in ("codes", "counts", "places", "numbers")]
     return shards.mapInArrow(translate, ", ".join([*kept, "terms binary, counts binary"]))
 
 
