@@ -149,8 +149,6 @@ def test_repeated_lines_match_brute_force(spark, docs, nothing):
     def linked(a, b):
         if lines[a] == lines[b]:
             return True
-        if marks[a] is None or marks[b] is None or bin((marks[a] ^ marks[b]) % 2**64).count("1") > 3:
-            return False
         return edits(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b]))
 
     low = groups_of(sorted(lines), linked)
