@@ -173,8 +173,13 @@ def _local_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) ->
                 chunks = pa.chunked_array(coded).unify_dictionaries().chunks
                 words = chunks[0].dictionary
                 width = max(len(words), 1)
-                cells = _merged(rows) * width + _merged([c.indices.to_numpy() for c in chunks])
-                cells, counts = np.unique(cells, return_counts=True)
+                cells = _merged(rows) * width
+                cells += _merged([c.indices.to_numpy() for c in chunks])
+                del coded, rows, chunks
+                cells.sort()
+                at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
+                counts = np.diff(np.append(at, len(cells)))
+                cells = cells[at]
                 columns = {
                     "shard": pa.array([shard], pa.int64()),
                     "ids": _list(docs_of_shard.column("ids"), docs_of_shard.column("ids").type),
