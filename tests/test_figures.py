@@ -2,15 +2,14 @@ import math
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import wattcell.operators.metrics as metrics
 import wattcell.operators.ordered as ordered
-import wattcell.operators.profiles as profiles
-import wattcell.operators.quantiles as quantiles_module
 from helpers import auroc, average_precision, linear_quantile, rows, series
 from wattcell.functions import columns as fx
-from wattcell.operators import drift, kpis, sampling, sweep
+from wattcell.operators import drift, kpis, profiles, sampling, sweep
 from wattcell.operators.policy import hysteresis_states, load_policy, probability_policy
 from wattcell.operators.prepare import prepare
 from wattcell.operators.quantiles import medians, quantile_row, quantiles
@@ -23,27 +22,48 @@ from wattcell.schema import CELL
 # -- quantiles and thresholds -----------------------------------------------------------
 
 
-@pytest.mark.parametrize("counters", [True, False])
-def test_quantiles(spark, counters):
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_quantiles(spark, ranges):
     rng = random.Random(7)
     groups = {"a": [rng.gauss(0, 10) for _ in range(900)], "b": [float(rng.randint(0, 3)) for _ in range(500)], "c": [5.0], None: [1.0, 2.0]}
     out = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
     df = spark.createDataFrame(out, "k string, x double")
     probs = [0.0, 0.1, 0.3, 0.301, 0.7, 1.0]
-    got = {r.k: r for r in quantiles(df, ["k"], "x", probs, counters, accuracy=100).collect()}
+    got = {r.k: r for r in quantiles(df, ["k"], "x", probs, ranges).collect()}
     assert set(got) == {"a", "b", "c", None, "d"} and got["d"].n == 0 and got["d"].q is None
     for k, vs in groups.items():
         assert got[k].n == len(vs)
         assert got[k].q == pytest.approx([linear_quantile(vs, q) for q in probs], abs=1e-9)
 
 
-def test_quantiles_of_many_values(spark, monkeypatch):
-    """The distinct-count check sends a column of unique values the bracketed way."""
-    monkeypatch.setattr(quantiles_module, "MAX_DISTINCT", 50)
+def test_quantiles_of_a_whole_column(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
-    assert quantiles_module.few_distinct(df, ["x", "y"]) == {"x": False, "y": True}
     assert quantile_row(df, "x", [0.25, 0.5]) == pytest.approx([249.75, 499.5])
-    assert medians(df, ["x", "y"]) == pytest.approx({"x": 499.5, "y": 1.0})
+    assert medians(df.withColumn("z", F.lit(None).cast("double")), ["x", "y", "z"]) == pytest.approx({"x": 499.5, "y": 1.0, "z": None})
+    assert quantile_row(df.limit(0), "x", [0.5]) is None and medians(df.limit(0), ["x"]) == {"x": None}
+    assert quantiles(df.limit(0), ["y"], "x", [0.5]).isEmpty()
+
+
+def test_quantiles_of_extreme_values(spark):
+    """One value holds most rows, magnitudes differ widely, both zeros are one value."""
+    values = [0.0] * 600 + [-0.0] * 100 + [-1e308, 1e308, 5e-324, float("inf"), float("-inf")] + [float(i) for i in range(1, 200)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    probs = [0.0, 0.001, 0.2, 0.7, 0.9, 1.0]
+    got = quantiles(df, [], "x", probs, ranges=30).first()
+    assert got.n == len(values)
+    ordered_values = sorted(values)
+    for p, found in zip(probs, got.q):
+        place = p * (len(values) - 1)
+        low, high = ordered_values[math.floor(place)], ordered_values[math.ceil(place)]
+        assert low <= found <= high
+
+
+def test_quantile_windows_stay_inside_ranges(spark):
+    """A column without keys is never ordered by value in one window."""
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    plan = quantiles(df, [], "x", [0.5], ranges=20)._jdf.queryExecution().optimizedPlan().toString()
+    by_value = [line for line in plan.splitlines() if "Window" in line and "[_v" in line]
+    assert by_value and all("_range" in line.split("[_v")[0] for line in by_value)
 
 
 def test_min_sample_and_null_key(spark):
@@ -54,10 +74,10 @@ def test_min_sample_and_null_key(spark):
     got = {r.cell: (r.p30, r.p70) for r in table.collect()}
     assert got[None] == (None, None) and got["c"] == pytest.approx((2.7, 6.3))
     full = threshold_table(df, "Per-Cell", min_n=1)
-    joined = attach_thresholds(df, full, "Per-Cell", check_unique=True)
+    joined = attach_thresholds(df, full, "Per-Cell")
     assert joined.count() == 19 and joined.filter("p30 is null").isEmpty()
-    with pytest.raises(ValueError, match="several"):
-        attach_thresholds(df, full.unionByName(full), "Per-Cell", check_unique=True)
+    with pytest.raises(PySparkException, match="several"):
+        attach_thresholds(df, full.unionByName(full), "Per-Cell").collect()
     with pytest.raises(ValueError, match="scope"):
         threshold_table(df, "Per-Planet")
 
@@ -131,16 +151,13 @@ def test_invariants(spark):
 # -- score quality ----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("ranged", [False, True])
+@pytest.mark.parametrize("ranges", [None, 7])
 @pytest.mark.parametrize("digits", [1, 9])
-def test_rank_metrics(spark, monkeypatch, ranged, digits):
-    if ranged:
-        monkeypatch.setattr(metrics, "PLAIN_LIMIT", 0)
-        monkeypatch.setattr(metrics, "RANGES", 7)
+def test_rank_metrics(spark, ranges, digits):
     rng = random.Random(digits)
     pairs = [(int(rng.random() < 0.3), round(rng.random(), digits)) for _ in range(300)]
     df = spark.createDataFrame(pairs, "y int, p double")
-    got = metrics.binary_metrics(df).first()
+    got = metrics.binary_metrics(df, ranges=ranges).first()
     clipped = [(y, min(max(p, 1e-6), 1 - 1e-6)) for y, p in pairs]
     mean = sum(p for _, p in clipped) / 300
     assert got.auroc == pytest.approx(auroc(clipped)) and got.auprc == pytest.approx(average_precision(clipped))
@@ -158,16 +175,12 @@ def test_one_class(spark):
     assert metrics.binary_metrics(df.limit(0)).first().n_rows == 0
 
 
-@pytest.mark.parametrize("ranged", [False, True])
-def test_load_ranks(spark, monkeypatch, ranged):
-    if ranged:
-        monkeypatch.setattr(metrics, "PLAIN_LIMIT", 0)
-        monkeypatch.setattr(metrics, "RANGES", 5)
-        monkeypatch.setattr(metrics, "SEQ_BITS", 3)
+@pytest.mark.parametrize("ranges", [None, 5])
+def test_load_ranks(spark, ranges):
     rng = random.Random(11)
     data = [(rng.choice([0.0, 0.0, 0.0, rng.uniform(0, 100)]), rng.random() < 0.4, i) for i in range(200)]
     df = spark.createDataFrame([*data, (None, True, 200)], "prb double, sleep_on boolean, seq long")
-    got = sorted(r.p for r in metrics.load_rank_scores(df).collect())
+    got = sorted(r.p for r in metrics.load_rank_scores(df, ranges=ranges).collect())
     assert got == pytest.approx([i / 199 for i in range(200)])
     order = sorted(data, key=lambda r: (r[0], r[2]))
     pairs = [(int(y), min(max(1 - i / 199, 1e-6), 1 - 1e-6)) for i, (_, y, _) in enumerate(order)]
@@ -192,7 +205,6 @@ def test_deciles(spark):
 
 
 def test_duplicate_profiles(spark, monkeypatch):
-    monkeypatch.setattr(profiles, "FAN_OUT_BITS", 2)
     monkeypatch.setattr(ordered, "SEQ_BITS", 2)
     a = rows(spark, [1.001, 2.0, 3.0] * 9, cell="a")
     b = rows(spark, [1.004, 2.0, 3.0] * 9, cell="b")

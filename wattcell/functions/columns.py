@@ -125,10 +125,6 @@ def clip(p: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(low)), F.lit(high)))
 
 
-def predicted(p: Column, threshold: float = 0.5) -> Column:
-    return (p >= F.lit(threshold)).cast("int")
-
-
 def cell_label(bs: Column, cell: Column) -> Column:
     return F.concat(bs.cast("string"), F.lit("||"), cell.cast("string"))
 

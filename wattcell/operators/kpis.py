@@ -12,7 +12,6 @@ from wattcell.operators.quantiles import quantiles
 from wattcell.operators.thresholds import series_thresholds
 from wattcell.schema import CELL, INTERVAL_MINUTES, require_columns
 
-STATES = ("FULL", "ECO", "SLEEP", "UNKNOWN")
 TOP_RANKINGS = ("eco_saved_kwh", "eco_saved_pct", "baseline_kwh", "traffic_gib", "p_sleep")
 
 

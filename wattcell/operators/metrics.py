@@ -1,51 +1,23 @@
 """Quality of scores against labels, exact and without a global sort in one task.
 
 Ranking metrics need, for every distinct score, how many rows lie above it. Rows are
-first combined by score. If many distinct scores remain they are cut into ranges at
-sketched quantiles; the running sums then run inside each range and over the totals of
-the at most ``RANGES`` ranges.
+first combined by score. The distinct scores are dealt to ranges that follow the data; the
+running sums run inside each range and over the totals of the ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattcell.functions import columns as fx
-from wattcell.operators.ordered import SEQ_BITS, Running, running
-from wattcell.operators.quantiles import few_distinct, quantile_row
+from wattcell.operators.ordered import Running, deal, running
+from wattcell.operators.quantiles import quantile_row
 from wattcell.schema import require_columns
 
-RANGES = 1000
-PLAIN_LIMIT = 100_000
 LOW_P, HIGH_P = 1e-6, 1.0 - 1e-6
 
 
-def even_cuts(df: DataFrame, column: str) -> list[float]:
-    """Values that cut the rows into about ``RANGES`` ranges of equal size."""
-    probs = ", ".join(f"{i / RANGES!r}D" for i in range(1, RANGES))
-    row = df.agg(F.expr(f"percentile_approx(`{column}`, array({probs}), {10 * RANGES})").alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
-
-
-def with_range(df: DataFrame, column: str, cuts: Sequence[float], name: str = "_range") -> DataFrame:
-    """Number of the range a value falls into (ranges are closed on the left)."""
-    splits = [-float("inf"), *cuts, float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol=column, outputCol=name)
-    return cutter.transform(df)
-
-
-def running_by_value(df: DataFrame, value: str, columns: Sequence[Running]) -> DataFrame:
-    """Running columns over a whole table in order of a distinct numeric ``value``."""
-    if few_distinct(df, [value], PLAIN_LIMIT)[value]:
-        return running(df, [], [value], columns)
-    cut = with_range(df, value, even_cuts(df, value))
-    return running(cut, [], [value], columns, ["_range"]).drop("_range")
-
-
 def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Rows and positives per distinct score."""
     return df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(
@@ -53,7 +25,7 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     )
 
 
-def binary_metrics(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:
+def binary_metrics(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5, ranges: int | None = None) -> DataFrame:
     """One row: prevalence, rank metrics, Brier score, score spread and confusion.
 
     Scores are clipped away from 0 and 1. With a single class the rank metrics are NULL.
@@ -64,7 +36,7 @@ def binary_metrics(df: DataFrame, y: str = "y", p: str = "p", threshold: float =
         Running("n_from_top", F.col("n"), "sum"),
         Running("pos_from_top", F.col("pos"), "sum"),
     ]
-    ranked = running_by_value(counts, "_down", above)
+    ranked = running(deal(counts, ["_down"], "score_counts", ranges), [], ["_down"], above, ["_range"])
     n, pos, score = F.col("n"), F.col("pos"), F.col("p")
     neg = n - pos
     won = neg * (F.col("pos_from_top") - pos / F.lit(2.0))
@@ -111,22 +83,16 @@ def binary_metrics(df: DataFrame, y: str = "y", p: str = "p", threshold: float =
 # -- load as the only predictor -----------------------------------------------------
 
 
-def load_rank_scores(df: DataFrame, load: str = "prb", y: str = "sleep_on") -> DataFrame:
+def load_rank_scores(df: DataFrame, load: str = "prb", y: str = "sleep_on", ranges: int | None = None) -> DataFrame:
     """Score 1 for the lowest load down to 0 for the highest, by position.
 
-    Equal loads are ordered by ``seq``. One load value may hold most rows, so positions
-    are counted inside ranges of ``seq`` inside each load inside each range of loads.
+    Equal loads are ordered by ``seq``, so that a load shared by most rows is cut as well.
     """
     require_columns(df, [load, y, "seq"], "load_rank_scores")
     rows = df.filter(fx.is_finite(F.col(load))).select(F.col(load).alias("_load"), "seq", F.col(y).cast("int").alias("y"))
-    total = rows.count()
-    place = [Running("_place", F.lit(1), "sum")]
-    if total <= PLAIN_LIMIT:
-        placed = running(rows, [], ["_load", "seq"], place)
-    else:
-        cut = with_range(rows, "_load", even_cuts(rows, "_load")).withColumn("_seq_range", F.shiftright("seq", SEQ_BITS))
-        placed = running(cut, [], ["_load", "seq"], place, ["_range", "_load", "_seq_range"])
-    last = max(total - 1, 1)
+    dealt = deal(rows, ["_load", "seq"], "loads", ranges)
+    placed = running(dealt, [], ["_load", "seq"], [Running("_place", F.lit(1), "sum")], ["_range"])
+    last = max(dealt.count() - 1, 1)
     return placed.select("y", (1.0 - (F.col("_place") - 1) / F.lit(float(last))).alias("p"))
 
 

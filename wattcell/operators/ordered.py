@@ -76,6 +76,16 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
+def deal(df: DataFrame, order: Sequence[str], name: str, ranges: int | None = None) -> DataFrame:
+    """Store a table dealt to numbered ranges of ``order``; ``_range`` rises with it.
+
+    The rows should differ in ``order``, so that a range never outgrows the others. The bounds
+    are sampled by Spark; what is computed from the ranges must not depend on where they lie.
+    """
+    dealt = df.repartitionByRange(*([] if ranges is None else [ranges]), *order)
+    return materialize(dealt.withColumn("_range", F.spark_partition_id()), name)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

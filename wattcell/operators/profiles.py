@@ -9,32 +9,22 @@ from wattcell.functions.columns import ratio_or_zero
 from wattcell.operators.ordered import Running, running_per_cell
 from wattcell.schema import CELL, require_columns
 
-FAN_OUT_BITS = 14
-LEVELS = 3  # covers 2**42 rows per cell
-
 
 def profile_signatures(df: DataFrame) -> DataFrame:
     """One row per cell: digest of its ordered loads, rounded half-even to two decimals.
 
-    The loads of a cell are numbered in order, digested in stretches of at most
-    2**FAN_OUT_BITS, and the digests digested again, so no list is ever longer.
+    The loads of a cell are numbered in order. Every pair of number and load is hashed to 128
+    bits, and the hashes of a cell are combined bit by bit, which needs no order and no list
+    and is done before the shuffle as well. The count is part of the digest.
     """
     require_columns(df, [*CELL, "tod_bin", "prb", "seq"], "profile_signatures")
     rows = df.filter(F.col("prb").isNotNull())
     numbered = running_per_cell(rows, CELL, ["tod_bin", "seq"], [Running("_at", F.lit(1), "sum")], F.col("tod_bin"))
-    # Adding 0.0 turns a rounded -0.0 into 0.0, as equal numbers must give equal text.
-    part = (F.bround("prb", 2) + F.lit(0.0)).cast("string")
-    level = numbered.select(*CELL, (F.col("_at") - 1).alias("_at"), part.alias("_part"))
-    for _ in range(LEVELS):
-        stretch = F.shiftright("_at", FAN_OUT_BITS).alias("_stretch")
-        listed = F.sort_array(F.collect_list(F.struct("_at", "_part")))
-        text = F.array_join(F.transform(listed, lambda e: e["_part"]), ",")
-        level = (
-            level.groupBy(*CELL, stretch)
-            .agg(F.sha2(text, 256).alias("_part"))
-            .select(*CELL, F.col("_stretch").alias("_at"), "_part")
-        )
-    return level.select(*CELL, F.col("_part").alias("signature"))
+    # Adding 0.0 turns a rounded -0.0 into 0.0, as equal numbers must give equal hashes.
+    load = F.bround("prb", 2) + F.lit(0.0)
+    halves = [F.hex(F.bit_xor(F.xxhash64(F.lit(i), "_at", load))) for i in (1, 2)]
+    digest = F.concat_ws("-", F.count(F.lit(1)).cast("string"), *halves)
+    return numbered.groupBy(*CELL).agg(digest.alias("signature"))
 
 
 def duplicate_profiles(df: DataFrame) -> DataFrame:

@@ -1,128 +1,81 @@
-"""Exact quantiles with linear interpolation, per group, without unbounded state.
-
-``percentile`` keeps one counter per distinct value of a group, which is exact, one
-pass and combined before the shuffle, but only bounded when the values repeat. A
-distinct-count sketch decides. Beyond the limit a second way stays exact:
-``percentile_approx`` brackets every wanted rank (its rank error is at most n/accuracy),
-values outside the brackets are only counted, and ranks are resolved among those inside.
-Groups of fewer than ``accuracy`` rows are small enough to keep all their values.
+"""Exact quantiles with linear interpolation, per group, by one rule at every size.
+
+Rows are counted per key and distinct value, and the counts are dealt to ranges in the order
+of key and value. No pair of key and value occurs twice there, so the ranges are even however
+often a value or a key repeats. The totals of the ranges tell which range holds a wanted
+rank; only those ranges are ordered by value. No window sees more rows than one range, or
+one row per range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattcell.operators.ordered import null_safe
-from wattcell.session import materialize
-
-MAX_DISTINCT = 250_000
-ACCURACY = 100_000
-
-
-def few_distinct(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, bool]:
-    """Which columns have so few distinct values that one counter each is affordable."""
-    limit = MAX_DISTINCT if limit is None else limit
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    return {c: row[c] <= limit for c in columns}
+from wattcell.operators.ordered import deal, null_safe
 
 
 def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    probs: Sequence[float],
-    counters: bool | None = None,
-    accuracy: int = ACCURACY,
+    df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], ranges: int | None = None
 ) -> DataFrame:
-    """One row per ``keys``: ``n`` valid values and ``q``, the array of quantiles."""
-    probs = [float(p) for p in probs]
-    if counters is None:
-        counters = few_distinct(df, [column])[column]
-    if counters:
-        return df.groupBy(*keys).agg(
-            F.count(column).alias("n"), F.percentile(column, probs).alias("q")
-        )
-    return _bracketed(df, list(keys), column, probs, accuracy)
-
-
-def _bracketed(df: DataFrame, keys: list[str], column: str, probs: list[float], accuracy: int) -> DataFrame:
-    # Three times the guaranteed error; from n = accuracy on that leaves two spare ranks.
-    margin = 3.0 / accuracy
-    edges = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    values = df.select(*keys, F.col(column).alias("_x"))
-    brackets = values.groupBy(*keys).agg(
-        F.count("_x").alias("n"), F.percentile_approx("_x", edges, accuracy).alias("_edges")
-    )
-    # Stored, because it took a pass over the data and its true size decides the join.
-    brackets = materialize(brackets, "brackets")
-    side = brackets.withColumnsRenamed({k: f"_b_{k}" for k in keys})
-    if keys:
-        located = values.join(side, null_safe(values, side, [(k, f"_b_{k}") for k in keys]))
-    else:
-        located = values.withColumns({c: brackets.select(c).scalar() for c in ("n", "_edges")})
-
-    def low(i):
-        return F.get("_edges", F.lit(2 * i))
-
-    def high(i):
-        return F.get("_edges", F.lit(2 * i + 1))
-
-    x = F.col("_x")
-    small = F.col("n") < accuracy
-    inside = reduce(lambda a, b: a | b, [x.between(low(i), high(i)) for i in range(len(probs))], small)
-    # Number of bracket edges below the value: never falls as the value rises.
-    below_edges = sum(((x >= low(i)).cast("int") + (x > high(i)).cast("int") for i in range(len(probs))), F.lit(0))
-    zone = F.when(small, 0).otherwise(below_edges)
-    counted = (
-        located.filter(x.isNotNull())
-        .groupBy(*keys, "n", zone.alias("_zone"), F.when(inside, x).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*keys).orderBy("_zone", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(upto))
+    """One row per ``keys``: ``n`` valid values and ``q``, the array of quantiles.
+
+    Without a valid value ``n`` is 0 and ``q`` NULL. Without ``keys`` there is always one
+    row. NaN counts as the largest value. ``ranges`` is the number of ranges; by default
+    the session's number of shuffle partitions, merged where they are small.
+    """
+    keys, probs = list(keys), [float(p) for p in probs]
+    values = df.select(*keys, F.col(column).cast("double").alias("_v"))
+    counts = values.groupBy(*keys, "_v").agg(F.count("_v").alias("_c"))
+    counts = deal(counts, [*keys, "_v"], "value_counts", ranges)
+
+    group = Window.partitionBy(*keys)
+    before = F.sum("_size").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    sizes = counts.groupBy(*keys, "_range").agg(F.sum("_c").alias("_size"))
+    spans = sizes.withColumns({"n": F.sum("_size").over(group), "_before": before})
+
+    def place(p: float) -> Column:
+        return F.lit(p) * (F.col("n") - 1)
+
+    ranks = F.array(*[rank(place(p)) for p in probs for rank in (F.floor, F.ceil)])
+    end = F.col("_before") + F.col("_size")
+    holding = spans.filter(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < end)))
+    side = holding.select("n", "_before", *[F.col(k).alias(f"_s_{k}") for k in [*keys, "_range"]])
+    inside = counts.filter("_c > 0").join(side, null_safe(counts, side, [(k, f"_s_{k}") for k in [*keys, "_range"]]))
+    in_range = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.select(*keys, "n", "_v", (F.col("_before") + F.sum("_c").over(in_range)).alias("_upto"))
 
     def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > rank, F.struct("_zone", "_v")))["_v"]
+        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
 
     picks = []
     for i, p in enumerate(probs):
-        place = F.lit(p) * (F.col("n") - 1)
-        picks += [at_rank(F.floor(place)).alias(f"_f{i}"), at_rank(F.ceil(place)).alias(f"_c{i}")]
+        picks += [at_rank(F.floor(place(p))).alias(f"_f{i}"), at_rank(F.ceil(place(p))).alias(f"_c{i}")]
     found = ranked.groupBy(*keys, "n").agg(*picks)
     out = []
     for i, p in enumerate(probs):
-        place = F.lit(p) * (F.col("n") - 1)
-        below, above = F.col(f"_f{i}"), F.col(f"_c{i}")
-        value = F.when(below == above, below).otherwise(
-            (F.ceil(place) - place) * below + (place - F.floor(place)) * above
-        )
-        missed = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-        out.append(F.when(below.isNull() | above.isNull(), missed).otherwise(value))
+        low, high = F.col(f"_f{i}"), F.col(f"_c{i}")
+        between = (F.ceil(place(p)) - place(p)) * low + (place(p) - F.floor(place(p))) * high
+        out.append(F.when(low == high, low).otherwise(between))
     exact = found.select(*keys, "n", F.array(*out).alias("q"))
-    # Groups without a single valid value have no rank to find.
-    empty = brackets.filter("n = 0").select(*keys, "n", F.lit(None).cast("array<double>").alias("q"))
-    return exact.unionByName(empty)
+    # Keys without a single valid value have no rank to find.
+    none = spans.filter("n = 0").select(*keys, "n", F.lit(None).cast("array<double>").alias("q"))
+    if keys:
+        return exact.unionByName(none)
+    return exact.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"), F.max("q").alias("q"))
 
 
 def quantile_row(df: DataFrame, column: str, probs: Sequence[float]) -> list[float] | None:
     """Quantiles of a whole column as a short driver-side list; None without values."""
     row = quantiles(df, [], column, probs).first()
-    return list(row["q"]) if row is not None and row["n"] else None
+    return list(row["q"]) if row["n"] else None
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Exact medians of several columns: one pass for all that have few values."""
-    easy = few_distinct(df, columns)
-    one_pass = [c for c in columns if easy[c]]
-    found: dict[str, float | None] = {}
-    if one_pass:
-        found.update(df.agg(*[F.percentile(c, 0.5).alias(c) for c in one_pass]).first().asDict())
-    for c in columns:
-        if not easy[c]:
-            row = quantiles(df, [], c, [0.5], counters=False).first()
-            found[c] = row["q"][0] if row is not None and row["q"] else None
-    return found
+    """Exact medians of several columns, ranked together with the column's number as key."""
+    each = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)])
+    long = df.select(F.explode(each).alias("_e")).select("_e.*")
+    found = {row["_i"]: row["q"][0] for row in quantiles(long, ["_i"], "_x", [0.5]).collect() if row["n"]}
+    return {c: found.get(i) for i, c in enumerate(columns)}

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattcell.operators.ordered import null_safe
-from wattcell.operators.quantiles import ACCURACY, quantiles
+from wattcell.operators.quantiles import quantiles
 from wattcell.schema import ensure_threshold_columns, repair_suffixes, require_columns
+from wattcell.session import materialize
 
 SCOPE_KEYS = {
     "Global": ["tod_bin"],
@@ -37,28 +38,25 @@ def threshold_table(
     scope: str = "Global",
     min_n: int = MIN_SAMPLES,
     decimals: int | None = None,
-    counters: bool | None = None,
-    accuracy: int = ACCURACY,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Scope keys with ``p30`` and ``p70``; NULL where fewer than ``min_n`` loads are valid.
 
     ``decimals`` rounds the thresholds, so that different engines agree on loads that
-    equal a threshold. ``counters`` and ``accuracy`` are handed to :func:`quantiles`.
+    equal a threshold. ``ranges`` is handed to :func:`quantiles`.
     """
     df = repair_suffixes(df)
     keys = scope_keys(scope)
     require_columns(df, [*keys, "prb"], "threshold_table")
-    return _guarded(quantiles(df, keys, "prb", PROBS, counters, accuracy), keys, min_n, decimals)
+    return _guarded(quantiles(df, keys, "prb", PROBS, ranges), keys, min_n, decimals)
 
 
-def series_thresholds(
-    df: DataFrame, min_n: int = MIN_SAMPLES, decimals: int | None = None, probs=PROBS, counters: bool | None = None
-) -> DataFrame:
+def series_thresholds(df: DataFrame, min_n: int = MIN_SAMPLES, decimals: int | None = None, probs=PROBS) -> DataFrame:
     """One row: the threshold pair of all loads together."""
-    return _guarded(quantiles(repair_suffixes(df), [], "prb", probs, counters), [], min_n, decimals)
+    return _guarded(quantiles(repair_suffixes(df), [], "prb", probs), [], min_n, decimals)
 
 
-def attach_thresholds(df: DataFrame, table: DataFrame, scope: str, check_unique: bool = False) -> DataFrame:
+def attach_thresholds(df: DataFrame, table: DataFrame, scope: str) -> DataFrame:
     """Thresholds beside every row. NULL keys match NULL keys; two thresholds for one key are an error.
 
     The global table has at most 49 rows and is broadcast. The others grow with the
@@ -68,8 +66,6 @@ def attach_thresholds(df: DataFrame, table: DataFrame, scope: str, check_unique:
     keys = scope_keys(scope)
     require_columns(table, [*keys, "p30", "p70"], "attach_thresholds")
     df = repair_suffixes(df).drop("p30", "p70", "state")
-    if check_unique and not table.groupBy(*keys).count().filter("count > 1").isEmpty():
-        raise ValueError(f"attach_thresholds: several thresholds for one key of {keys}")
     # One row per key; more than one would multiply the rows of df, so the job fails on it.
     twice = F.raise_error(F.lit(f"attach_thresholds: several thresholds for one key of {keys}")).cast("double")
     once = [F.when(F.count("*") > 1, twice).otherwise(F.max(p)).alias(p) for p in ("p30", "p70")]
@@ -89,21 +85,19 @@ def with_thresholds(
     """Attach thresholds; if none at all is valid, one global pair serves every row.
 
     The check looks at the thresholds of the keys that occur in ``df``. It is one small
-    job on a table that is cached, because the join reads it again right after.
+    job on a table that is stored, because the join reads it again right after.
     """
     keys = scope_keys(scope)
     given = table is not None
     if not given:
-        table = threshold_table(df, scope, min_n, decimals).persist()
+        table = materialize(threshold_table(df, scope, min_n, decimals), "thresholds")
     used = table
     if given:
         present = df.select(*[F.col(k).alias(f"_p_{k}") for k in keys]).distinct()
         used = table.join(present, null_safe(table, present, [(k, f"_p_{k}") for k in keys]), "left_semi")
     seen = used.agg(F.count("p30").alias("p30"), F.count("p70").alias("p70")).first()
     if seen["p30"] and seen["p70"]:
-        return attach_thresholds(df, table, scope, check_unique=given)
-    if not given:
-        table.unpersist()
+        return attach_thresholds(df, table, scope)
     pair = series_thresholds(df, min_n, decimals).first()
     low, high = (pair["p30"], pair["p70"]) if pair else (None, None)
     plain = repair_suffixes(df).drop("p30", "p70", "state")

@@ -50,6 +50,15 @@ def binary(spark, sf_dir):
     return binary_metrics(scored(spark, sf_dir), "sleep_on", "p_sleep_on")
 
 
+@query("binary_metrics_continuous", _metrics_query("""
+yp AS (SELECT CASE WHEN sleep_on THEN 1 ELSE 0 END AS y, (seq * 7919 % 1000003)::double / 1000003 AS p FROM prep)""",
+    "yp", PREP))
+def binary_continuous(spark, sf_dir):
+    """Nearly every row has a score of its own; the scores lie in many ranges."""
+    score = (F.col("seq") * 7919 % 1000003).cast("double") / 1000003
+    return binary_metrics(prepared(spark, sf_dir).withColumn("p", score), "sleep_on", ranges=64)
+
+
 @query("prb_rank_baseline", _metrics_query("""
 yp AS (SELECT CASE WHEN sleep_on THEN 1 ELSE 0 END AS y,
               1 - (row_number() OVER (ORDER BY prb, seq) - 1)::double / ((SELECT count(*) FROM prep) - 1) AS p FROM prep)""",

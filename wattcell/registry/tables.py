@@ -103,8 +103,8 @@ for _scope, _name in (("Global", "global"), ("Per-BaseStation", "bs"), ("Per-Cel
 
     @query(f"thresholds_{_name}_bracketed", _sql)
     def thresholds_bracketed(spark, sf_dir, scope=_scope):
-        """The way taken for loads with very many distinct values, brackets included."""
-        return threshold_table(prepared(spark, sf_dir), scope, decimals=DECIMALS, counters=False, accuracy=50)
+        """Many ranges, so that the values of one key lie in several of them."""
+        return threshold_table(prepared(spark, sf_dir), scope, decimals=DECIMALS, ranges=64)
 
 
 @query("thresholds_series", sql(PREP, thr("Global"), "SELECT p30, p70 FROM whole"))
@@ -117,7 +117,7 @@ SELECT a.seq, t.p30, t.p70 FROM prep a LEFT JOIN thr0 t ON a.bs = t.bs AND a.tod
 def attached(spark, sf_dir):
     rows = prepared(spark, sf_dir)
     table = threshold_table(rows, "Per-BaseStation", decimals=DECIMALS)
-    return attach_thresholds(rows, table, "Per-BaseStation", check_unique=True).select("seq", "p30", "p70")
+    return attach_thresholds(rows, table, "Per-BaseStation").select("seq", "p30", "p70")
 
 
 @query("fallback_thresholds", sql(PREP, thr("Per-Cell"), """
