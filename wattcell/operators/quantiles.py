@@ -41,9 +41,11 @@ def quantiles(
 
     ranks = F.array(*[rank(place(p)) for p in probs for rank in (F.floor, F.ceil)])
     end = F.col("_before") + F.col("_size")
-    holding = spans.filter(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < end)))
+    # Keys without a single valid value have no rank to find; they come along with their one NULL.
+    holding = spans.filter((F.col("n") == 0) | F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < end)))
     side = holding.select("n", "_before", *[F.col(k).alias(f"_s_{k}") for k in [*keys, "_range"]])
-    inside = counts.filter("_c > 0").join(side, null_safe(counts, side, [(k, f"_s_{k}") for k in [*keys, "_range"]]))
+    on = null_safe(counts, side, [(k, f"_s_{k}") for k in [*keys, "_range"]])
+    inside = counts.join(side, on).filter("_c > 0 OR n = 0")
     in_range = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.select(*keys, "n", "_v", (F.col("_before") + F.sum("_c").over(in_range)).alias("_upto"))
 
@@ -59,11 +61,9 @@ def quantiles(
         low, high = F.col(f"_f{i}"), F.col(f"_c{i}")
         between = (F.ceil(place(p)) - place(p)) * low + (place(p) - F.floor(place(p))) * high
         out.append(F.when(low == high, low).otherwise(between))
-    exact = found.select(*keys, "n", F.array(*out).alias("q"))
-    # Keys without a single valid value have no rank to find.
-    none = spans.filter("n = 0").select(*keys, "n", F.lit(None).cast("array<double>").alias("q"))
+    exact = found.select(*keys, "n", F.when(F.col("n") > 0, F.array(*out)).alias("q"))
     if keys:
-        return exact.unionByName(none)
+        return exact
     return exact.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"), F.max("q").alias("q"))
 
 
