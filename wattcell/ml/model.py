@@ -10,12 +10,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattcell.functions import columns as fx
 from wattcell.ml.features import FeatureSpec, feature_columns, label
+from wattcell.ml.isotonic import fit_isotonic
 from wattcell.ml.split import SplitSpec
 from wattcell.operators.quantiles import medians
 from wattcell.operators.sampling import group_key
@@ -119,7 +120,7 @@ def _base(spec: TrainSpec) -> Pipeline:
 
 def _fit_calibrator(df: DataFrame, method: str):
     if method == ISOTONIC:
-        return IsotonicRegression(featuresCol="_margin_0", labelCol="_y", predictionCol="_cal").fit(df)
+        return fit_isotonic(df, "_margin_0", "_y")
     if method == SIGMOID:
         vector = VectorAssembler(inputCols=["_margin_0"], outputCol="_m")
         return LogisticRegression(featuresCol="_m", labelCol="_y").fit(vector.transform(df))
@@ -134,7 +135,8 @@ def fold_of(df_keys: Column, folds: int, seed: int) -> Column:
 def fit_sleep_model(train: DataFrame, spec: TrainSpec = TrainSpec()) -> SleepModel:
     """Fit on all rows of ``train``, which must hold both classes.
 
-    With calibration each fold of cells calibrates a classifier fitted on the others.
+    With calibration each fold of cells calibrates a classifier fitted on the others. A fold that
+    holds one class only, or leaves one class only to the others, is an error.
     The assembled rows are cached while the fits run: boosting reads them every round.
     """
     use_checkpoint_dir(train.sparkSession)
@@ -158,12 +160,10 @@ def fit_sleep_model(train: DataFrame, spec: TrainSpec = TrainSpec()) -> SleepMod
                 here = {y for f, y in seen if f == k}
                 others = {y for f, y in seen if f != k}
                 if len(here) < 2 or len(others) < 2:
-                    continue
+                    raise ValueError(f"fit_sleep_model: fold {k} of {spec.folds}, or the others, lack a class; use fewer folds")
                 part = _base(spec).fit(rows.filter(F.col("_fold") != k))
                 held, _ = _member_score(rows.filter(F.col("_fold") == k), Member(part), 0)
                 members.append(Member(part, _fit_calibrator(held, spec.method)))
-            if not members:
-                raise ValueError("fit_sleep_model: no fold holds both classes")
     finally:
         rows.unpersist()
     return SleepModel(spec.features, names, fill, members, spec.method if spec.calibrate else None)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wattcell.ml import studies
 from wattcell.ml.features import FeatureSpec, TRANSFER, feature_matrix
+from wattcell.ml.isotonic import isotonic_levels
 from wattcell.ml.model import LOGISTIC, SIGMOID, TrainSpec, fit_sleep_model, load_bundle, save_bundle
 from wattcell.ml.split import CELL_GROUPS, adaptive_split, describe_split, group_holdout, last_days_holdout
 from wattcell.operators import kpis
@@ -76,6 +77,24 @@ def one_class(spark, sf_dir):
     return binary_metrics(rows, "sleep_on", "p_sleep_on").select("n_rows", "auroc", "auprc", "brier")
 
 
+@query("isotonic_levels", sql(PREP, """
+scores AS (SELECT floor((100 - prb) * 10) AS x, count(*) AS n, sum(CASE WHEN sleep_on THEN 1 ELSE 0 END) AS pos
+           FROM prep WHERE prb IS NOT NULL GROUP BY x),
+sums AS (SELECT x, n, pos, sum(n) OVER w AS n_upto, sum(pos) OVER w AS pos_upto FROM scores WINDOW w AS (ORDER BY x)),
+-- Level of x: the largest over all beginnings a up to x of the smallest share from a to any end from x on.
+shares AS (SELECT a.x AS a, b.x AS x,
+                  min((b.pos_upto - a.pos_upto + a.pos)::double / (b.n_upto - a.n_upto + a.n)::double)
+                    OVER (PARTITION BY a.x ORDER BY b.x DESC) AS least
+           FROM sums a JOIN sums b ON a.x <= b.x),
+levels AS (SELECT x, max(least) AS level FROM shares GROUP BY x)""", f"""
+SELECT min(x)::double AS lower, max(x)::double AS upper, {n('sum(n)', 'n')}, {n('sum(pos)', 'pos')}, {r('level')}
+FROM levels JOIN scores USING (x) GROUP BY level"""))
+def isotonic(spark, sf_dir):
+    """Rising fit of measured sleep over tenths of load, pooled up a tree of ranges."""
+    rows = prepared(spark, sf_dir).withColumn("x", F.floor((100 - F.col("prb")) * 10).cast("double"))
+    return isotonic_levels(rows, "x", "sleep_on", ranges=40)
+
+
 # -- splits ----------------------------------------------------------------------------
 
 _HELD_CELLS = """
