@@ -125,9 +125,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    """As :func:`materialize`, packed harder: both tables of the matrix are as wide as the corpus."""
+    """As :func:`materialize`, packed harder: both tables of the matrix are as wide as the corpus.
+
+    A row is a shard of some ten MB. By default a writer holds a hundred rows before it looks at their size, and a
+    reader takes a whole row group at once; here every row is looked at and a group ends behind ``SHARD_BYTES``.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    sizes = {"parquet.block.size": SHARD_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    df.write.options(compression="zstd", **sizes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
