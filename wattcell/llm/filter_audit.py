@@ -219,8 +219,8 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = seen.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
     nth = F.dense_rank().over(W.partitionBy("bucket").orderBy("word")) - 1
     named = seen.select("shard", "code", "word", (nth * F.lit(BUCKETS).cast("long") + F.col("bucket")).alias("term_id"))
-    lookup = named.groupBy("shard").agg(F.collect_list(F.struct("code", "term_id")).alias("m"))
-    lookup = lookup.select("shard", F.col("m.code").alias("places"), F.col("m.term_id").alias("numbers"))
+    # Both lists take every row in turn, so their entries belong together; neither column is ever NULL.
+    lookup = named.groupBy("shard").agg(F.collect_list("code").alias("places"), F.collect_list("term_id").alias("numbers"))
     shards = _translated(local.drop("words").join(lookup, "shard", "left"))
     return TermMatrix(_stored(shards, "matrix"), named.select("term_id", "word").distinct())
 
