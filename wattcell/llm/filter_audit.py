@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from wattcell.session import materialize, shared_path
 
 SHARD_BYTES = 16 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BUCKETS = 4096
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
@@ -200,6 +200,8 @@ def _local_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) ->
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                 shard += 1
+                del columns, words, cells, at, counts
+                pa.default_memory_pool().release_unused()  # the worker outlives the task
 
     return thin.mapInArrow(
         encode,
