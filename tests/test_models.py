@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattcell.ml import studies
@@ -90,3 +91,11 @@ def test_unknown_kinds(prepared):
         fit_sleep_model(prepared, TrainSpec(model_type="forest"))
     with pytest.raises(FileNotFoundError):
         load_bundle(prepared.sparkSession, "/nowhere/model")
+
+
+def test_ablation_derives_the_rows_once(prepared, monkeypatch):
+    seen = []
+    monkeypatch.setattr(studies, "station_holdout_report", lambda df, spec: seen.append(df) or {})
+    ordered = prepared.withColumn("place", F.row_number().over(Window.partitionBy("bs", "cell").orderBy("seq")))
+    assert list(studies.ablation_report(ordered)["ablations"]) == list(studies.VARIANTS)
+    assert len(seen) == 5 and not any("Window" in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
