@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import wattcell.operators.ordered as ordered
 from helpers import by_day, load_machine, rows, score_machine, series
 from wattcell.operators.kpis import cell_kpis, mark_bouts
-from wattcell.operators.ordered import HOT, Running, mark_hot_cells, running
+from wattcell.operators.ordered import HOT, Running, mark_hot_cells, running, running_per_cell
 from wattcell.operators.policy import ProbabilityController, hysteresis_states, probability_states
 from wattcell.operators.prepare import prepare
 
@@ -159,3 +159,11 @@ def test_running_three_levels(spark):
     want = running(df, [], ["at"], cols)
     assert got.columns == want.columns
     assert got.exceptAll(want).isEmpty() and got.count() == 300
+
+
+def test_hot_series_run_the_plan_behind_them_once(spark):
+    df, _ = series(spark)
+    before = running_per_cell(mark_hot_cells(df, 30), ["bs", "cell"], ["seq"], [Running("_p", F.col("prb"), "prev")], F.lit(0))
+    after = running_per_cell(before, ["bs", "cell"], ["seq"], [Running("_n", F.lit(1), "sum")], F.lit(0))
+    assert "_n" in after.columns and "prev" not in after.columns
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("lag(") == 0

@@ -151,6 +151,8 @@ def running_per_cell(
 ) -> DataFrame:
     """:func:`running` for series inside a cell; hot cells are cut into blocks.
 
+    With hot cells the rows are stored first: the block totals and the rows themselves read them, and the
+    plan behind them would otherwise be run once more by every call of a chain.
     ``slot`` is a whole number that never falls along ``order``; inside a slot the
     order must be that of ``seq``.
     """
@@ -159,4 +161,5 @@ def running_per_cell(
     cut = df.withColumns(
         {"_slot": F.when(F.col(HOT), slot), "_range": F.when(F.col(HOT), F.shiftright("seq", SEQ_BITS))}
     )
+    cut = materialize(cut, "series")
     return running(cut, keys, order, columns, ["_slot", "_range"], write_totals=True).drop("_slot", "_range")
