@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattcell.llm.links import linked_groups, overlapping, pair_nodes, small_side
+from wattcell.llm.links import bucket_keys, linked_groups, overlapping, pair_nodes, ranges_for, shared_buckets, short, small_side
 from wattcell.llm.minmax_dedup import bands, may_overlap, signature_samples
 from wattcell.llm.text import hashed, lists, mix, multipliers, shingles, signed
 from wattcell.session import materialize
@@ -151,6 +151,13 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return thin.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(scan, _UNITS)
 
 
+def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``bucket_keys`` makes of ``k1, b0, ..``: every band is a bucket of its own."""
+    for batch in batches:
+        nodes, *found = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + BANDS))
+        yield np.concatenate(found), np.tile(nodes, BANDS), np.ones(len(nodes) * BANDS, bool)
+
+
 def _paragraph_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``node, grams`` of the paragraphs at ``places`` (node, doc, start, n_words)."""
     wanted = places.groupBy("doc").agg(F.collect_list(F.struct("node", "start", "n_words")).alias("wanted"))
@@ -205,7 +212,10 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"b{i}" for i in range(BANDS)]
     paragraphs = found.where("paragraph")
     # Copies need no class of their own here: their bands repeat the same bucket and node.
-    buckets = paragraphs.select(F.col("k1").alias("node"), F.explode(F.array(*names)).alias("bucket"))
+    keys = bucket_keys(paragraphs.select("k1", *names), _band_keys, ranges_for(paragraphs.count() * BANDS))
+    shared = materialize(shared_buckets(keys), "shared")
+    nodes = paragraphs.select(F.col("k1").alias("node")).distinct().withColumn("short", short(F.col("node")))
+    buckets = materialize(shared.join(nodes, "short").select("bucket", "node"), "buckets")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         places = paragraphs.select(F.col("k1").alias("node"), "doc", "start", "n_words").join(nodes, "node", "left_semi")
