@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from wattcell.ml import studies
 from wattcell.ml.features import FeatureSpec, TRANSFER, feature_columns, label
-from wattcell.ml.model import BOOSTED, LOGISTIC, SIGMOID, TrainSpec, fit_sleep_model, load_bundle, save_bundle
+from wattcell.ml.model import BOOSTED, ISOTONIC, LOGISTIC, SIGMOID, TrainSpec, fit_sleep_model, load_bundle, save_bundle
 from wattcell.ml.split import CELL_GROUPS, LAST_DAYS, DegenerateSplit, SplitSpec, adaptive_split, group_holdout, last_days_holdout
 from wattcell.operators.prepare import prepare
+from wattcell.registry.models import ablation
 from wattcell.schema import CELL
 from wattcell.sources.adapters import events_telemetry
 
@@ -99,3 +100,12 @@ def test_ablation_derives_the_rows_once(prepared, monkeypatch):
     ordered = prepared.withColumn("place", F.row_number().over(Window.partitionBy("bs", "cell").orderBy("seq")))
     assert list(studies.ablation_report(ordered)["ablations"]) == list(studies.VARIANTS)
     assert len(seen) == 5 and not any("Window" in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+
+
+def test_ablation_query_trains_in_full(spark, monkeypatch):
+    seen = []
+    found = {"test_metrics": dict.fromkeys(studies.METRICS, 0.5), "test_label_prevalence": 0.5}
+    monkeypatch.setattr(studies, "station_holdout_report", lambda df, spec: seen.append(spec) or found)
+    assert ablation(spark, SF).count() == 5
+    assert sorted(map(repr, seen)) == sorted(repr(TrainSpec(features=f)) for f in studies.VARIANTS.values())
+    assert all((s.model_type, s.rounds, s.depth, s.method, s.folds) == (BOOSTED, 300, 6, ISOTONIC, 3) for s in seen)
